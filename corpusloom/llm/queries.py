@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lookalike, shared_spans
+from corpusloom.llm import leakage, lookalike, shared_spans
 from corpusloom.runtime import spread, table
 
 
@@ -38,9 +38,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_looks(spark, d))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaking_documents(_leaks(spark, d))
+
+
+def p6_removal_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = _leaks(spark, d).select("doc_id", "item_id", "leaked_share", F.explode("spans").alias("span"))
+    return spans.select("doc_id", "item_id", "leaked_share", "span.span_start", "span.span_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_shared_amount": p1_shared_amount,
     "p4_found": p4_found,
     "p4_normal_forms": p4_normal_forms,
+    "p6_found": p6_found,
+    "p6_removal_spans": p6_removal_spans,
 }
