@@ -73,17 +73,22 @@ def hot_keys(df: DataFrame, key: str, share: float = 1 / 256) -> DataFrame:
     return counts.filter(F.col("rows_of_key") > max(1000, total * share)).select(key)
 
 
-def salted_semi_join(left: DataFrame, right: DataFrame, key: str, salts: int = 64, share: float = 1 / 256) -> DataFrame:
-    """Rows of ``left`` whose ``key`` is in ``right``; a key that floods ``left`` is spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64, share: float = 1 / 256) -> DataFrame:
+    """``left`` joined with ``right``, which holds each ``key`` once; a key that floods ``left`` is spread over tasks.
 
-    ``left`` should be materialised: it is read once for counting and once for joining. The broadcast list of hot
-    keys has at most ``1 / share`` rows whatever the size of the data. Null keys match nothing.
+    ``left`` should be materialised: it is read once for counting and once for joining. The broadcast list of hot keys
+    has at most ``1 / share`` rows whatever the size of the data; rows of cold keys are neither copied nor moved more
+    than in a plain join. Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
     """
-    keys = right.select(key).distinct()
     hot = hot_keys(left, key, share).withColumn("is_hot", F.lit(True))
     mark = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
-    salt: Column = F.when(F.col("is_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(0)
+    salt: Column = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = mark(left).withColumn("salt", salt)
-    every = mark(keys).select(key, F.explode(copies).alias("salt"))
-    return salted.join(every, [key, "salt"], "left_semi").select(*left.columns)
+    salted = mark(left).withColumn("salt", salt).drop("is_hot")
+    every = mark(right).withColumn("salt", F.explode(copies)).drop("is_hot")
+    return salted.join(every, [key, "salt"], how).drop("salt")
+
+
+def salted_semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of ``left`` whose ``key`` is among those of ``right``, hot keys spread as in ``salted_join``."""
+    return salted_join(left, right.select(key).distinct(), key, "left_semi").select(*left.columns)
