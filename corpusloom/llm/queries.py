@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, shared_spans
+from corpusloom.llm import leakage, lookalike, representative, shared_spans
 from corpusloom.runtime import spread, table
 
 
@@ -25,6 +25,18 @@ def p1_shared_amount(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amount(shared_spans.shared_spans(batches), every)
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return representative.judged_values(*(table(spark, d, name) for name in ("lit_records", "dup_groups", "source_trust")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return representative.sole_best(_judged(spark, d))
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return representative.surviving_records(_judged(spark, d))
+
+
 def _looks(spark: SparkSession, d: str) -> DataFrame:
     texts = lookalike.normalize_lookalikes(spread(table(spark, d, "fingerprinted_texts")), "fp_id", "text")
     return texts.unionByName(lookalike.normalize_lookalikes(spread(table(spark, d, "docx_contents")), "docx_id", "text"))
@@ -54,6 +66,8 @@ def p6_removal_spans(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_shared_amount": p1_shared_amount,
+    "p3_found": p3_found,
+    "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p4_normal_forms": p4_normal_forms,
     "p6_found": p6_found,
