@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, representative, shared_spans
+from corpusloom.llm import leakage, lookalike, reading, representative, shared_spans
 from corpusloom.runtime import spread, table
 
 
@@ -63,6 +63,23 @@ def p6_removal_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("doc_id", "item_id", "leaked_share", "span.span_start", "span.span_end")
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return reading.reading_levels(docs, reading.fit_levels(docs, table(spark, d, "reading_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding_documents(_levels(spark, d))
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(_levels(spark, d), table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_shared_amount": p1_shared_amount,
@@ -72,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_normal_forms": p4_normal_forms,
     "p6_found": p6_found,
     "p6_removal_spans": p6_removal_spans,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
+    "p8_profile": p8_profile,
 }
