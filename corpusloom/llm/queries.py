@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, reading, representative, shared_spans
+from corpusloom.llm import leakage, lookalike, mixing, reading, representative, shared_spans
 from corpusloom.runtime import spread, table
 
 
@@ -63,6 +63,14 @@ def p6_removal_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("doc_id", "item_id", "leaked_share", "span.span_start", "span.span_end")
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return reading.reading_levels(docs, reading.fit_levels(docs, table(spark, d, "reading_labels")))
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_normal_forms": p4_normal_forms,
     "p6_found": p6_found,
     "p6_removal_spans": p6_removal_spans,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
