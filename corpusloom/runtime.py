@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL = 1_000_000  # rows that one task can join without harm
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -69,8 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
 def hot_keys(df: DataFrame, key: str, share: float = 1 / 256) -> DataFrame:
     """Keys holding more than ``share`` of the rows: at most ``1 / share`` rows by arithmetic."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    total = counts.agg(F.sum("rows_of_key")).first()[0] or 0
-    return counts.filter(F.col("rows_of_key") > max(1000, total * share)).select(key)
+    return counts.filter(F.col("rows_of_key") > max(1000, df.count() * share)).select(key)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64, share: float = 1 / 256) -> DataFrame:
@@ -78,8 +79,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
     ``left`` should be materialised: it is read once for counting and once for joining. The broadcast list of hot keys
     has at most ``1 / share`` rows whatever the size of the data; rows of cold keys are neither copied nor moved more
-    than in a plain join. Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
+    than in a plain join. Below ``SMALL`` rows a single task could hold all of ``left``, and the join is a plain one.
+    Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
     """
+    if left.count() < SMALL:
+        return left.join(right, key, how)
     hot = hot_keys(left, key, share).withColumn("is_hot", F.lit(True))
     mark = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
     salt: Column = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(salts)).cast("int")).otherwise(0)
