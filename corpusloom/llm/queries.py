@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, mixing, reading, representative, shared_spans
-from corpusloom.runtime import spread, table
+from corpusloom.llm import leakage, lookalike, mixing, name_variants, reading, representative, shared_spans
+from corpusloom.runtime import materialize, spread, table
 
 
 def _records(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -25,6 +25,19 @@ def p1_shared_amount(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amount(shared_spans.shared_spans(batches), every)
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    authors = table(spark, d, "lit_records").select(F.explode("authors").alias("name"))
+    return materialize(name_variants.link_variants(authors), "linked")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(_linked(spark, d))
+
+
+def p2_authors(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d)
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return representative.judged_values(*(table(spark, d, name) for name in ("lit_records", "dup_groups", "source_trust")))
 
@@ -91,6 +104,8 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_shared_amount": p1_shared_amount,
+    "p2_found": p2_found,
+    "p2_authors": p2_authors,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
