@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, mixing, name_variants, reading, representative, shared_spans
+from corpusloom.llm import leakage, lookalike, matching, mixing, name_variants, reading, representative, shared_spans
 from corpusloom.runtime import materialize, spread, table
 
 
@@ -63,6 +63,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_looks(spark, d))
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    bib = table(spark, d, "bib_entries").select(F.col("bib_id").alias("id"), "title", F.array("authors").alias("authors"), F.col("pub_year").alias("year"), "venue")
+    lit = table(spark, d, "lit_records").select(F.col("rec_id").alias("id"), "title", "authors", F.col("pub_year").cast("string").alias("year"), "venue")
+    return matching.match(bib, lit)
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).filter("confidence > 0.5").select(F.col("entry_id").alias("bib_id"), F.col("record_id").alias("rec_id")).distinct()
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -110,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p4_normal_forms": p4_normal_forms,
+    "p5_found": p5_found,
+    "p5_matches": p5_matches,
     "p6_found": p6_found,
     "p6_removal_spans": p6_removal_spans,
     "p7_mix": p7_mix,
