@@ -51,11 +51,22 @@ def normal(text: Column) -> Column:
     return F.array_join(tokens(text), "")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's argument, not an expression repeated at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(normalised: Column, n: int) -> Column:
     """Distinct substrings of ``n`` characters; a shorter, non-empty text is one shingle, an empty one has none."""
-    size = F.char_length(normalised)
-    many = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(normalised, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size <= n, F.array(normalised)).otherwise(F.array_distinct(many))
+
+    def cut(chars: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")))
+
+    def of(text: Column) -> Column:
+        size = F.char_length(text)
+        return F.when(size == 0, F.array().cast("array<string>")).when(size <= n, F.array(text)).otherwise(bind(F.split(text, ""), cut))
+
+    return bind(normalised, of)
 
 
 def fnv1a(text: Column) -> Column:
@@ -134,8 +145,11 @@ PROTECTED = {
 
 def protected_elements(text: Column) -> Column:
     """``ARRAY<STRUCT<kind, text>>``: distinct protected elements per kind, in the order of the kinds."""
-    parts = [F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1 if k == "term" else 0)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("text"))) for k, p in PROTECTED.items()]
-    return F.concat(*parts)
+
+    def named(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+
+    return F.concat(*(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1 if k == "term" else 0)), named(k)) for k, p in PROTECTED.items()))
 
 
 # Words that say nothing about a subject.

@@ -25,7 +25,11 @@ def style_findings(paragraphs: DataFrame, key: str, most: int = 8) -> DataFrame:
 
     ``paragraphs`` has ``(key, raw)``. Hits are found paragraph by paragraph, so no text is put together again.
     """
-    found = [F.transform(F.regexp_extract_all("raw", F.lit(p), 0), lambda h, r=rule, level=level: F.struct(F.lit(r).alias("rule"), F.lit(level).alias("level"), h.alias("hit"))) for rule, (level, p) in RULES.items()]
+
+    def named(rule: str, level: str):
+        return lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), h.alias("hit"))
+
+    found = [F.transform(F.regexp_extract_all("raw", F.lit(p), 0), named(rule, level)) for rule, (level, p) in RULES.items()]
     rows = paragraphs.select(key, F.inline(F.concat(*found))).groupBy(key, "rule", "level").agg(F.slice(F.sort_array(F.collect_set("hit")), 1, most).alias("hits"))
     return rows.select(key, "rule", "level", F.explode("hits").alias("hit"))
 
