@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.runtime import materialize
+from corpusloom.runtime import materialize, spread
 
 
 def fingerprints(df: DataFrame, key: str, normalised: str, n: int) -> DataFrame:
@@ -29,8 +29,8 @@ def containment_hits(segments: DataFrame, corpus: DataFrame, n: int = 4, least:
     ``segments`` has ``(segment_id, normalised)``, ``corpus`` ``(corpus_id, normalised)``. Containment is the share of
     the segment's distinct shingles found in the other text. Pairs below ``least`` are left out.
     """
-    left = materialize(fingerprints(segments, "segment_id", "normalised", n).withColumnRenamed("size", "a_size"), "left")
-    right = fingerprints(corpus, "corpus_id", "normalised", n).withColumnRenamed("size", "b_size")
+    left = materialize(fingerprints(spread(segments.select("segment_id", "normalised")), "segment_id", "normalised", n).withColumnRenamed("size", "a_size"), "left")
+    right = fingerprints(spread(corpus.select("corpus_id", "normalised")), "corpus_id", "normalised", n).withColumnRenamed("size", "b_size")
     # each shingle once on the looked-up side, with all its holders: hot ones of either side are then met in parts
     part = F.pmod(F.xxhash64("corpus_id"), F.lit(8))
     holders = right.groupBy("shingle", part.alias("part")).agg(F.collect_list(F.struct("corpus_id", "b_size")).alias("holders"))

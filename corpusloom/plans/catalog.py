@@ -145,7 +145,7 @@ def rate_delta(spark, d):
 
 @query(f"{Q.PARAGRAPHS}, runs AS (SELECT segment_id, doc_id, len(s) AS size, unnest(s) AS shingle FROM (SELECT doc_id || ':' || line_start AS segment_id, doc_id, {Q.shingles('normalised', 60)} AS s FROM paragraphs)), docs AS (SELECT DISTINCT doc_id AS other, shingle FROM runs) SELECT segment_id, other AS corpus_id, count(*) AS common, count(*) / any_value(size)::DOUBLE AS containment FROM runs JOIN docs USING (shingle) WHERE other <> doc_id GROUP BY 1, 2 HAVING count(*) / any_value(size)::DOUBLE >= 0.5")
 def cross_document_scan(spark, d):
-    own = O.fingerprints(_paragraphs(spark, d).select(F.struct("segment_id", "doc_id").alias("at"), "normalised"), "at", "normalised", 60)
+    own = O.fingerprints(spread(_paragraphs(spark, d)).select(F.struct("segment_id", "doc_id").alias("at"), "normalised"), "at", "normalised", 60)
     own = materialize(own.select("at.*", "size", "shingle"), "runs")
     held = own.select("shingle", F.col("doc_id").alias("corpus_id")).distinct()
     # a run that stands in one document only cannot be met elsewhere: it leaves before the join
