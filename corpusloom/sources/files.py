@@ -29,7 +29,7 @@ def list_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     """``(path, rel, kind, length, content)`` of the files below ``root``, at most ``depth`` folders down, by path.
 
     Folders of build output and version control are skipped; legacy office files are kept, they fail later with a
-    reason; other unreadable kinds are left out unless asked for by extension. ``most`` keeps the first files by path;
+    reason; empty files have no row (the reader leaves them out); other unreadable kinds are left out unless asked for by extension. ``most`` keeps the first files by path;
     None keeps all.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
