@@ -167,6 +167,20 @@ def keywords(text: Column, most: int = 24, least: int = 2) -> Column:
     return F.slice(F.transform(keyed, lambda s: s["w"]), 1, most)
 
 
+def probes(text: Column) -> Column:
+    """Every distinct piece of two to four characters within runs of keyword characters, in lower case.
+
+    A keyword stands in a text only if its first four characters (or all of it) are among the text's probes.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_.-]{2,}|[一-龥]{2,}"), 0)
+
+    def of(n: int):
+        cut = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))
+        return F.flatten(F.transform(F.filter(runs, lambda r: F.char_length(r) >= n), cut))
+
+    return F.array_distinct(F.concat(of(2), of(3), of(4)))
+
+
 def cited_numbers(text: Column, most_range: int = 500) -> Column:
     """Distinct numbers cited as ``[1]``, ``[2-4]`` or ``[1,3]``, ascending; reversed ranges count, huge ones are cut."""
     marks = F.regexp_extract_all(text, F.lit(r"\[(\d{1,6}(?:[-,，]\d{1,6})*)\]"), 1)

@@ -56,13 +56,15 @@ def recall(facts: DataFrame, messages: DataFrame, most: int = 4) -> DataFrame:
     """``(message_id, key, score, place)``: the facts that share most keywords with each message.
 
     Score is the number of keywords contained in key or value plus a hundredth of the confidence; ties go to the later
-    update, then the key. Keywords of a message are exploded and met with facts by contained keyword of the fact itself,
-    so the join is an equi-join; a message without keyword, and a fact without hit, give nothing.
+    update, then the key. Keywords meet facts by their first characters in an equi-join and are then looked for in the
+    whole text, so no message is compared with every fact. A message without keyword, and a fact without hit, give
+    nothing.
     """
-    asked = messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word"))
-    words = F.array_distinct(F.concat(T.keywords(F.concat_ws("\n", "key", "value"), 1 << 20), F.regexp_extract_all(F.lower(F.concat_ws("\n", "key", "value")), F.lit("[a-z][a-z0-9_]{1,30}"), 0)))
-    held = facts.select("key", "confidence", "updated_at", F.explode(words).alias("word"))
-    hits = asked.join(held, "word").groupBy("message_id", "key").agg((F.count_distinct("word") + 0.01 * F.max("confidence")).alias("score"), F.max("updated_at").alias("updated_at"))
+    asked = messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word")).withColumn("probe", F.substring("word", 1, 4))
+    hay = F.lower(F.concat_ws("\n", "key", "value"))
+    held = facts.select("key", "confidence", "updated_at", hay.alias("hay"), F.explode(T.probes(F.concat_ws("\n", "key", "value"))).alias("probe"))
+    met = asked.join(held, "probe").filter(F.contains("hay", "word"))
+    hits = met.groupBy("message_id", "key").agg((F.count_distinct("word") + 0.01 * F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"), F.max("updated_at").alias("updated_at"))
     order = W.partitionBy("message_id").orderBy(F.desc("score"), F.desc("updated_at"), "key")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("message_id", "key", "score", "place")
 

@@ -60,9 +60,10 @@ def changed_only(stream: DataFrame, key: str, fingerprint: str, ttl: str | None
 
 def recall_stream(messages: DataFrame, facts: DataFrame) -> DataFrame:
     """``(agent_id, message_id, key, word)``: facts met by the keywords of streamed messages, by a stream-static join."""
-    asked = user_messages(messages).select("agent_id", "message_id", F.explode(T.keywords(F.col("text"))).alias("word"))
-    held = facts.select("key", F.explode(T.keywords(F.concat_ws("\n", "key", "value"), 1 << 20)).alias("word"))
-    return asked.join(held, "word").select("agent_id", "message_id", "key", "word")
+    asked = user_messages(messages).select("agent_id", "message_id", F.explode(T.keywords(F.col("text"))).alias("word")).withColumn("probe", F.substring("word", 1, 4))
+    whole = F.concat_ws("\n", "key", "value")
+    held = facts.select("key", F.lower(whole).alias("hay"), F.explode(T.probes(whole)).alias("probe"))
+    return asked.join(held, "probe").filter(F.contains("hay", "word")).select("agent_id", "message_id", "key", "word")
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
