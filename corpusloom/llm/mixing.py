@@ -89,6 +89,8 @@ def fit_sources(rows: DataFrame, known: list[str], smoothing: float = 0.1, most_
     The ``most_values`` most frequent values of a feature are kept (a size limit of the model), rarer ones count as
     unknown and say nothing.
     """
+    if not known:
+        return [], []
     labelled = rows.filter(F.col("typed").isin(known))
     sums = [F.sum((F.col("typed") == s).cast("double")).alias(f"s{k}") for k, s in enumerate(known)]
     total = labelled.agg(*sums).first()
@@ -110,7 +112,9 @@ def posteriors(rows: DataFrame, known: list[str], model: tuple[list[float], list
         for batch in batches:
             out = []
             for values in zip(*(batch.column(f"f{n}").to_pylist() for n in range(N_FEATURES)), strict=True):
-                if (p := seen.get(values)) is None:
+                if not known:
+                    p = []
+                elif (p := seen.get(values)) is None:
                     score = np.array(prior) + sum(np.array(t.get(v, none)) for t, v in zip(tables, values, strict=True))
                     score = np.exp(score - score.max())
                     p = np.round(score / score.sum(), 6).tolist()

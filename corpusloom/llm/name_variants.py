@@ -182,11 +182,12 @@ def _full_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = []
         for r in pdf.itertuples(index=False):
-            for form in one_left_out(r.family):
-                out.append((r.node, r.cluster, r.n, "family", f"f|{form}|{r.given}", r.family, r.given, r.middle))
+            keys = [f"f|{form}|{r.given}" for form in one_left_out(r.family)]
             if not r.partial:
-                for form in one_left_out(r.given):
-                    out.append((r.node, r.cluster, r.n, "given", f"g|{r.family}|{form}", r.family, r.given, r.middle))
+                keys += [f"g|{r.family}|{form}" for form in one_left_out(r.given)]
+            for key in keys:
+                out.append((r.node, r.cluster, r.n, "any", key, r.family, r.given, r.middle))
+                out.append((r.node, r.cluster, r.n, "same", f"{key}|{r.middle[:1]}", r.family, r.given, r.middle))
         yield pd.DataFrame(out, columns=KEYS.replace(" long", "").replace(" string", "").split(", "))
 
 
@@ -199,11 +200,13 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _hub_edges(nodes: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between clusters: each profile and its block's heaviest one, where names and initials agree.
 
-    Blocks are told apart by the clusters' initials, so namesakes with other initials do not meet.
+    Every block also stands once per initial. Where the initials in a block contradict each other it holds namesakes,
+    and only the blocks per initial count: a name without initials is then linked to none of them.
     """
     keys = materialize(nodes.mapInPandas(_full_keys, KEYS), "keys")
-    hubs = keys.groupBy("key").agg(F.max_by(F.struct("cluster", "family", "given", "middle"), F.struct("n", F.length("middle"), "node")).alias("hub"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
-    hubs = hubs.filter("low <> high").select("key", F.col("hub.cluster").alias("hub_cluster"), F.col("hub.family").alias("hub_family"), F.col("hub.given").alias("hub_given"), F.col("hub.middle").alias("hub_middle"))
+    initial = F.when(F.col("middle") != "", F.substring("middle", 1, 1))
+    hubs = keys.groupBy("key").agg(F.max_by(F.struct("cluster", "family", "given", "middle"), F.struct("n", F.length("middle"), "node")).alias("hub"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.first("kind").alias("kind"), F.min(initial).alias("low_middle"), F.max(initial).alias("high_middle"))
+    hubs = hubs.filter("low <> high AND (kind = 'same' OR low_middle IS NULL OR startswith(high_middle, low_middle))").select("key", F.col("hub.cluster").alias("hub_cluster"), F.col("hub.family").alias("hub_family"), F.col("hub.given").alias("hub_given"), F.col("hub.middle").alias("hub_middle"))
     facing = salted_join(keys, hubs, "key").filter("cluster <> hub_cluster")
     return facing.select("cluster", "family", "given", "middle", "hub_cluster", "hub_family", "hub_given", "hub_middle").distinct().mapInPandas(_verified, "a long, b long")
 

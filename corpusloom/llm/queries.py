@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,3 +135,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
 }
+
+# The same results in plain SQL, where it can say them; p3 and p1 by their definitions, without the operators' methods.
+_P1 = """WITH recs AS (SELECT fp_id AS rec_id, text FROM fingerprinted_texts UNION ALL SELECT risk_id, excerpt FROM risk_items),
+w AS (SELECT rec_id, unnest(range(0, length(text) - 79)) AS s, text FROM recs WHERE length(text) >= 80),
+x AS (SELECT rec_id, s, text[s + 1:s + 80] AS piece FROM w),
+shared AS (SELECT piece FROM x GROUP BY piece HAVING min(rec_id) <> max(rec_id)),
+hits AS (SELECT rec_id, s FROM x SEMI JOIN shared USING (piece)),
+f AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY rec_id ORDER BY s) + 80 THEN 0 ELSE 1 END AS fresh FROM hits),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY s) AS island FROM f),
+spans AS (SELECT rec_id, min(s) AS span_start, max(s) + 80 AS span_end FROM i GROUP BY rec_id, island)"""
+_DOI = "regexp_extract(lower(trim(doi)), '^(?:https?://)?(?:(?:dx\\.|www\\.)?doi\\.org/)?(?:doi:?\\s*)?(10\\.\\d{4,9}(?:\\.\\d+)*/\\S*[^\\s/.])$', 1)"
+_SOURCE = "regexp_replace(lower(trim(lit_records.lit_source)), '[\\s_-]+', '-', 'g')"
+_PLAIN = "trim(regexp_replace(regexp_replace(abstract, '<[^<>]{1,60}>', ' ', 'g'), '\\s+', ' ', 'g'))"
+SQL: dict[str, str] = {
+    "p1_found": f"{_P1} SELECT rec_id, span_start, span_end FROM spans",
+    "p1_shared_amount": f"{_P1}, t AS (SELECT rec_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY rec_id) SELECT rec_id, coalesce(length(text), 0) AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE coalesce(shared_chars, 0) / length(text)::DOUBLE END AS shared_share FROM recs LEFT JOIN t USING (rec_id)",
+    "p3_found": f"""WITH r AS (SELECT group_id, rec_id, {_DOI} AS doi, {_PLAIN} AS abstract, citation_count, retrieved_at, t.trust_rank FROM lit_records JOIN dup_groups USING (rec_id) LEFT JOIN source_trust t ON t.lit_source = {_SOURCE}),
+v AS (SELECT group_id, rec_id, 'doi' AS field_name, 0 AS score FROM r WHERE doi <> ''
+UNION ALL SELECT group_id, rec_id, 'abstract', 0 FROM r a WHERE regexp_matches(abstract, '[.。!！?？]$') AND NOT regexp_matches(abstract, '\\.\\.+$') AND lower(abstract) NOT IN ('no abstract available.') AND NOT EXISTS (SELECT 1 FROM r b WHERE b.group_id = a.group_id AND length(b.abstract) > length(a.abstract) AND starts_with(b.abstract, a.abstract))
+UNION ALL SELECT group_id, rec_id, 'citation_count', epoch_us(retrieved_at) FROM r WHERE citation_count >= 0
+UNION ALL SELECT group_id, rec_id, 'lit_source', -trust_rank FROM r WHERE trust_rank IS NOT NULL),
+b AS (SELECT *, max(score) OVER (PARTITION BY group_id, field_name) AS best FROM v)
+SELECT group_id, field_name, min(rec_id) AS rec_id FROM b WHERE score = best GROUP BY group_id, field_name HAVING count(*) = 1""",
+}
+
+
+def _look_sql() -> str:
+    """Pairs by a visual form made with the engine's own functions: characters mapped one by one, then composed."""
+    one, gone, several = {}, [], {}
+    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
+        char = chr(code)
+        if lookalike._hidden.match(char):
+            gone.append(char)
+        elif (seen := lookalike._visual[code]) != char:
+            (one if len(seen) == 1 else several)[char] = seen
+    # letters that are composed from a look-alike and an accent: decomposed first, as the operator does
+    for code in range(0x400, 0x530):
+        if len(parts := unicodedata.normalize("NFD", chr(code))) > 1 and ord(parts[0]) in lookalike._letters:
+            whole = unicodedata.normalize("NFC", lookalike._letters[ord(parts[0])] + parts[1:])
+            if len(whole) == 1:
+                one[chr(code)] = whole
+    text = "nfc_normalize(translate(text, '{}', '{}'))".format("".join([*one, *gone]).replace("'", "''"), "".join(one.values()).replace("'", "''"))
+    for char in "ﬀﬁﬂﬃﬄﬅﬆ…":
+        text = f"replace({text}, '{char}', '{several[char]}')"
+    return f"WITH t AS (SELECT fp_id AS id, text FROM fingerprinted_texts UNION ALL SELECT docx_id, text FROM docx_contents), v AS (SELECT id, text, md5({text}) AS look FROM t) SELECT a.id AS text_id_a, b.id AS text_id_b FROM v a JOIN v b ON a.look = b.look AND a.id < b.id AND a.text <> b.text"
+
+
+SQL["p4_found"] = _look_sql()

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import by_size
 from corpusloom.runtime import spread
 
 LEVELS = 5
@@ -64,7 +65,7 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches):
         word, doc = words(batch.column("text").to_pylist())
         shares = np.array(batch.column("shares").to_pylist(), dtype=np.float64).reshape(-1, LEVELS)
         distinct, inverse = np.unique(word, return_inverse=True)
@@ -130,7 +131,7 @@ def reading_levels(docs: DataFrame, model: LevelModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             posterior, n = sent.value.posteriors(batch.column("text").to_pylist())
             none = n == 0
             yield pa.RecordBatch.from_arrays(

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import by_size
 from corpusloom.runtime import materialize, new_path, salted_semi_join, spread
 
 SPAN, GRAM = 80, 40
@@ -74,7 +75,7 @@ def _windows(codes: np.ndarray, ends: np.ndarray, span: int, gram: int) -> Itera
 
 def anchor_rows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             ids = batch.column("rec_id").to_numpy(zero_copy_only=False)
             codes, ends = _codes(batch.column("text").to_pylist())
             for owner, _, anchors, _, _ in _windows(codes, ends, span, gram):
@@ -87,7 +88,7 @@ def anchor_rows(span: int, gram: int):
 
 def window_rows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             ids = batch.column("rec_id").to_numpy(zero_copy_only=False)
             codes, ends = _codes(batch.column("text").to_pylist())
             wanted = batch.column("anchors")
