@@ -60,12 +60,13 @@ def recall(facts: DataFrame, messages: DataFrame, most: int = 4) -> DataFrame:
     whole text, so no message is compared with every fact. A message without keyword, and a fact without hit, give
     nothing.
     """
-    asked = messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word")).withColumn("probe", F.substring("word", 1, 4))
+    asked = messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word")).distinct().withColumn("probe", F.substring("word", 1, 4))
     hay = F.lower(F.concat_ws("\n", "key", "value"))
     held = facts.select("key", "confidence", "updated_at", hay.alias("hay"), F.explode(T.probes(F.concat_ws("\n", "key", "value"))).alias("probe"))
     # each distinct keyword is looked for once, however many messages have it
-    found = asked.select("word", "probe").distinct().join(held, "probe").filter(F.contains("hay", "word")).select("word", "key", "confidence", "updated_at")
-    hits = asked.join(found, "word").groupBy("message_id", "key").agg((F.count_distinct("word") + 0.01 * F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"), F.max("updated_at").alias("updated_at"))
+    found = asked.select("word", "probe").distinct().join(held, "probe").filter(F.contains("hay", "word"))
+    found = found.groupBy("word", "key").agg(F.max("confidence").alias("confidence"), F.max("updated_at").alias("updated_at"))
+    hits = asked.join(found, "word").groupBy("message_id", "key").agg((F.count(F.lit(1)) + 0.01 * F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"), F.max("updated_at").alias("updated_at"))
     order = W.partitionBy("message_id").orderBy(F.desc("score"), F.desc("updated_at"), "key")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("message_id", "key", "score", "place")
 
