@@ -4,8 +4,8 @@ Every distinct spelling is read as family name, given name and initials; an orga
 initials of the words that say what it is. Spellings read alike form profiles. Profiles meet in blocks: equal names;
 names that become equal by leaving out one letter (which covers one letter wrong, lost, added or swapped); and initials
 or shortened given names with the fuller names they can stand for. Merged profiles unite their spellings and initials,
-and enter blocking again until nothing merges. Within a block nothing is paired off: full names meet the block's
-heaviest profile, and a shortened name is linked only if the block holds exactly one author it can stand for.
+and enter blocking again until nothing merges. Within a block nothing is paired off: full names meet the
+heaviest profile of a part in which all names are close, and a shortened name is linked only if the block holds exactly one author it can stand for.
 """
 
 from __future__ import annotations
@@ -156,6 +156,13 @@ def one_left_out(text: str) -> list[str]:
     return list(dict.fromkeys([text, *(text[:i] + text[i + 1 :] for i in range(len(text)))]))
 
 
+def places_left_out(text: str) -> list[tuple[str, int, str]]:
+    """``(form, place, letter)``: the forms of ``one_left_out`` with each place whose letter can be left out; -1 for the text itself."""
+    if len(text) < 5:
+        return [(text, -1, "")]
+    return [(text, -1, ""), *((text[:i] + text[i + 1 :], i, text[i]) for i in range(len(text)))]
+
+
 def close(a: str, b: str) -> bool:
     """Equal, or one letter wrong, lost, added or swapped with its neighbour."""
     if a == b:
@@ -174,7 +181,7 @@ def _agree(a: str, b: str) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
-KEYS = "node long, cluster long, n long, kind string, key string, family string, given string, middle string"
+KEYS = "node long, cluster long, n long, kind string, key string, place int, letter string, family string, given string, middle string"
 
 
 def _full_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,13 +189,13 @@ def _full_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = []
         for r in pdf.itertuples(index=False):
-            keys = [f"f|{form}|{r.given}" for form in one_left_out(r.family)]
+            keys = [(f"f|{form}|{r.given}", *at) for form, *at in places_left_out(r.family)]
             if not r.partial:
-                keys += [f"g|{r.family}|{form}" for form in one_left_out(r.given)]
-            for key in keys:
-                out.append((r.node, r.cluster, r.n, "any", key, r.family, r.given, r.middle))
-                out.append((r.node, r.cluster, r.n, "same", f"{key}|{r.middle[:1]}", r.family, r.given, r.middle))
-        yield pd.DataFrame(out, columns=KEYS.replace(" long", "").replace(" string", "").split(", "))
+                keys += [(f"g|{r.family}|{form}", *at) for form, *at in places_left_out(r.given)]
+            for key, *at in keys:
+                out.append((r.node, r.cluster, r.n, "any", key, *at, r.family, r.given, r.middle))
+                out += [(r.node, r.cluster, r.n, "same", f"{key}|{r.middle[:k]}", *at, r.family, r.given, r.middle) for k in range(min(1, len(r.middle)), len(r.middle) + 1)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in KEYS.split(", ")])
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,16 +205,25 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hub_edges(nodes: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between clusters: each profile and its block's heaviest one, where names and initials agree.
+    """Edges ``(a, b)`` between clusters of full names that are close and whose initials agree.
 
-    Every block also stands once per initial. Where the initials in a block contradict each other it holds namesakes,
+    A block is parted so that all members of a part are close: the names that lack no letter with all the others; names
+    that lack a letter at the same place; names that lack the same letter at neighbouring places. In each part every
+    profile faces the heaviest one. Every block also stands once per beginning of the initials. Where the initials in a block contradict each other it holds namesakes,
     and only the blocks per initial count: a name without initials is then linked to none of them.
     """
     keys = materialize(nodes.mapInPandas(_full_keys, KEYS), "keys")
     initial = F.when(F.col("middle") != "", F.substring("middle", 1, 1))
-    hubs = keys.groupBy("key").agg(F.max_by(F.struct("cluster", "family", "given", "middle"), F.struct("n", F.length("middle"), "node")).alias("hub"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.first("kind").alias("kind"), F.min(initial).alias("low_middle"), F.max(initial).alias("high_middle"))
-    hubs = hubs.filter("low <> high AND (kind = 'same' OR low_middle IS NULL OR startswith(high_middle, low_middle))").select("key", F.col("hub.cluster").alias("hub_cluster"), F.col("hub.family").alias("hub_family"), F.col("hub.given").alias("hub_given"), F.col("hub.middle").alias("hub_middle"))
-    facing = salted_join(keys, hubs, "key").filter("cluster <> hub_cluster")
+    several = keys.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.first("kind").alias("kind"), F.min(initial).alias("low_middle"), F.max(initial).alias("high_middle"))
+    several = several.filter("low <> high AND (kind = 'same' OR low_middle IS NULL OR startswith(high_middle, low_middle))").select("key")
+    swaps = [F.concat(F.lit("s"), F.col("place") - k, F.lit("|"), "letter") for k in (0, 1)]
+    parts = F.when(F.col("place") < 0, F.array(F.lit("w"))).otherwise(F.array(F.lit("w"), F.concat(F.lit("p"), "place"), *swaps))
+    spots = salted_join(keys, several, "key").withColumn("spot", F.explode(F.transform(parts, lambda p: F.concat_ws("|", "key", p))))
+    spots = spots.withColumn("centre", F.col("spot") != F.concat_ws("|", "key", F.lit("w"))).withColumn("centre", F.col("centre") | (F.col("place") < 0))
+    spots = materialize(spots.select("spot", "centre", "node", "cluster", "n", "family", "given", "middle"), "spots")
+    hubs = spots.groupBy("spot").agg(F.max_by(F.struct("cluster", "family", "given", "middle"), F.when(F.col("centre"), F.struct("n", F.length("middle"), "node"))).alias("hub"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    hubs = hubs.filter("low <> high AND hub IS NOT NULL").select("spot", F.col("hub.cluster").alias("hub_cluster"), F.col("hub.family").alias("hub_family"), F.col("hub.given").alias("hub_given"), F.col("hub.middle").alias("hub_middle"))
+    facing = salted_join(spots, hubs, "spot").filter("cluster <> hub_cluster")
     return facing.select("cluster", "family", "given", "middle", "hub_cluster", "hub_family", "hub_given", "hub_middle").distinct().mapInPandas(_verified, "a long, b long")
 
 
