@@ -18,6 +18,8 @@ HALF_FROM = WIDE + "".join(c for c in PUNCT_FROM if c not in WIDE) + BOM
 HALF_TO = NARROW + "".join(t for c, t in zip(PUNCT_FROM, PUNCT_TO, strict=True) if c not in WIDE)
 CJK = r"[一-鿿]"
 TOKEN = "[㐀-䶿一-鿿豈-﫿]|[A-Za-zÀ-ɏ][A-Za-z0-9_À-ɏ]*|[0-9][0-9.]*"
+# runs of tokens as group 1, or what stands between tokens: one replacement by the group drops all the rest
+NOT_TOKEN = "([㐀-䶿一-鿿豈-﫿]+|[A-Za-zÀ-ɏ][A-Za-z0-9_À-ɏ]*|[0-9][0-9.]*)|[^㐀-䶿一-鿿豈-﫿A-Za-zÀ-ɏ0-9]+"
 
 # The kinds of line that are no running text, as patterns both engines read.
 LINE_KINDS = {
@@ -47,8 +49,8 @@ def tokens(text: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    """The tokens of a text run together: what overlap is measured on."""
-    return F.array_join(tokens(text), "")
+    """The tokens of a text run together: what overlap is measured on. One replacement, no array of tokens."""
+    return F.lower(F.regexp_replace(half_width(text), NOT_TOKEN, "$1"))
 
 
 def bind(value: Column, body) -> Column:
@@ -57,21 +59,23 @@ def bind(value: Column, body) -> Column:
 
 
 def shingles(normalised: Column, n: int) -> Column:
-    """Distinct substrings of ``n`` characters; a shorter, non-empty text is one shingle, an empty one has none."""
+    """Distinct substrings of ``n`` characters; a shorter, non-empty text is one shingle, an empty one has none.
 
-    def cut(chars: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")))
+    All windows come from one scan for a lookahead, which matches at every character.
+    """
 
     def of(text: Column) -> Column:
-        size = F.char_length(text)
-        return F.when(size == 0, F.array().cast("array<string>")).when(size <= n, F.array(text)).otherwise(bind(F.split(text, ""), cut))
+        windows = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+        return F.when(text == "", F.array().cast("array<string>")).when(F.char_length(text) <= n, F.array(text)).otherwise(windows)
 
     return bind(normalised, of)
 
 
 def fnv1a(text: Column) -> Column:
-    """The 32-bit FNV-1a hash over code points below 65536, as BIGINT."""
-    units = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    """The 32-bit FNV-1a hash over the UTF-16 units of a text, as BIGINT."""
+    # two bytes a unit: hex digits are cut into fours
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.regexp_extract_all(digits, F.lit("[0-9A-F]{4}"), 0), lambda c: F.conv(c, 16, 10).cast("bigint"))
     prime, start = 16777619, 2166136261
     return F.aggregate(units, F.lit(start).cast("bigint"), lambda h, u: (h.bitwiseXOR(u) * prime).bitwiseAND(F.lit(4294967295)))
 
@@ -98,7 +102,7 @@ def cjk_count(text: Column) -> Column:
 
 def clip(text: Column, most: int) -> Column:
     """White space collapsed and cut to ``most`` characters with an ellipsis."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    flat = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
@@ -107,11 +111,27 @@ ENTITIES = {"&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…
 XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
+def _by_number(text: Column) -> Column:
+    """Decimal and hexadecimal character references replaced; those outside Unicode stay as they are."""
+    mark = "&#(?:[0-9]{1,7}|x[0-9a-fA-F]{1,6});"
+
+    def char(ref: Column) -> Column:
+        number = F.when(F.substring(ref, 3, 1) == "x", F.conv(F.regexp_extract(ref, "x([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "([0-9]+)", 1)).cast("int")
+        # a code point is four bytes of UTF-32
+        one = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when((number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF), one).otherwise(ref)
+
+    pieces = F.split(text, mark)
+    found = F.regexp_extract_all(text, F.lit(mark), 0)
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(found, lambda ref, i: F.concat(char(ref), F.get(pieces, i + 1))), ""))
+    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+
 def decode_entities(text: Column, names: dict[str, str] = XML_ENTITIES) -> Column:
-    """Named references replaced, the ampersand last."""
-    for name, char in names.items():
+    """Character references replaced: the ampersand first, then the other names, then numbers."""
+    for name, char in sorted(names.items(), key=lambda x: x[0] != "&amp;"):
         text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    return _by_number(text)
 
 
 def strip_tags(text: Column) -> Column:
@@ -129,7 +149,10 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", "")
     for pattern, to in ((r"(?i)</t[dh]\s*>", "\t"), (r"(?i)<br\s*/?>", "\n"), (rf"(?i)</({BLOCK_END})\s*>", "\n"), (r"(?i)<(hr|li)\b[^>]*>", "\n"), (r"(?s)<[^>]*>", "")):
         text = F.regexp_replace(text, pattern, to)
-    text = decode_entities(text, {**ENTITIES, **XML_ENTITIES})
+    for name, char in {**ENTITIES, **XML_ENTITIES}.items():
+        if name == "&amp;":  # last: what it leaves is not decoded again
+            text = _by_number(text)
+        text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"(?m)^[ \t]+", "")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
@@ -181,14 +204,17 @@ def probes(text: Column) -> Column:
     return F.array_distinct(F.concat(of(2), of(3), of(4)))
 
 
-def cited_numbers(text: Column, most_range: int = 500) -> Column:
-    """Distinct numbers cited as ``[1]``, ``[2-4]`` or ``[1,3]``, ascending; reversed ranges count, huge ones are cut."""
-    marks = F.regexp_extract_all(text, F.lit(r"\[(\d{1,6}(?:[-,，]\d{1,6})*)\]"), 1)
-    parts = F.flatten(F.transform(marks, lambda m: F.split(m, "[,，]")))
+def cited_numbers(text: Column, most_range: int = 10_000_000) -> Column:
+    """Distinct numbers cited as ``[1]``, ``[2-4]`` or ``[1,3]``, ascending; a reversed range cites nothing.
+
+    A range of more than ``most_range`` numbers fails the query rather than being cut.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"\[(\d+(?:[-,，]\d+)*)\]"), 1)
+    parts = F.filter(F.flatten(F.transform(marks, lambda m: F.split(m, "[,，]"))), lambda p: p.rlike(r"^\d{1,18}(-\d{1,18})?$"))
 
     def numbers(p: Column) -> Column:
-        ends = F.transform(F.split(p, "-"), lambda x: x.cast("int"))
-        low, high = F.array_min(ends), F.array_max(ends)
-        return F.sequence(low, F.least(high, low + most_range))
+        ends = F.transform(F.split(p, "-"), lambda x: x.cast("bigint"))
+        low, high = F.get(ends, F.lit(0)), F.element_at(ends, -1)
+        return F.when(high < low, F.array().cast("array<bigint>")).when(high - low > most_range, F.raise_error(F.concat(F.lit("range too long: "), p)).cast("array<bigint>")).otherwise(F.sequence(low, F.greatest(low, high)))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))

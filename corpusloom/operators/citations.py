@@ -40,7 +40,7 @@ def numbered_objects(df: DataFrame, key: str, chapter: str, kind: str, text: str
 
     ``foreign`` lists numbers of other chapters in order; a text without any has zeros and an empty list.
     """
-    found = F.regexp_extract_all(text, F.lit(rf"{kind}\s*(\d{{1,6}}[-–]\d{{1,6}})"), 1)
+    found = F.regexp_extract_all(text, F.lit(rf"{kind}\s*(\d+[-–]\d+)"), 1)
     pairs = F.transform(found, lambda x: F.transform(F.split(x, "[-–]"), lambda v: v.cast("int")))
     own = F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda p: p[0] == F.col(chapter)), lambda p: p[1])))
     other = F.array_distinct(F.transform(F.filter(pairs, lambda p: p[0] != F.col(chapter)), lambda p: F.concat_ws("-", p[0].cast("string"), p[1].cast("string"))))
@@ -77,3 +77,13 @@ def terms_before_definition(df: DataFrame, group: str, place: str, text: str = "
 def range_check(count: Column, low: Column, high: Column) -> Column:
     """How far a count is outside a range: negative below, positive above, 0 inside, null without a range."""
     return F.when(count < low, count - low).when(count > high, count - high).when(low.isNotNull() & high.isNotNull(), 0)
+
+
+def table_rows(lines: DataFrame, key: str) -> DataFrame:
+    """``(key, line_no, cells)`` of the rows of Markdown tables, from ``text_lines`` output; rulers are left out.
+
+    Cells are trimmed; a row needs no closing bar.
+    """
+    inner = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
+    rows = lines.filter(F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^[\s|:-]+$"))
+    return rows.select(key, "line_no", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.runtime import materialize, salted_join
 
 
 def _contains(column: str, query: str) -> Column:
@@ -56,26 +57,42 @@ def recall(facts: DataFrame, messages: DataFrame, most: int = 4) -> DataFrame:
     """``(message_id, key, score, place)``: the facts that share most keywords with each message.
 
     Score is the number of keywords contained in key or value plus a hundredth of the confidence; ties go to the later
-    update, then the key. Keywords meet facts by their first characters in an equi-join and are then looked for in the
-    whole text, so no message is compared with every fact. A message without keyword, and a fact without hit, give
-    nothing.
+    update, then the key. Keywords meet keys by their first characters in an equi-join that carries no text; each pair
+    that is left brings the text in once to look for the whole keyword. A message without keyword, and a fact without
+    hit, give nothing. Fact keys must be unique.
     """
-    asked = messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word")).distinct().withColumn("probe", F.substring("word", 1, 4))
+    asked = materialize(messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word")).distinct(), "asked")
     hay = F.lower(F.concat_ws("\n", "key", "value"))
-    held = facts.select("key", "confidence", "updated_at", hay.alias("hay"), F.explode(T.probes(F.concat_ws("\n", "key", "value"))).alias("probe"))
-    # each distinct keyword is looked for once, however many messages have it
-    found = asked.select("word", "probe").distinct().join(held, "probe").filter(F.contains("hay", "word"))
-    found = found.groupBy("word", "key").agg(F.max("confidence").alias("confidence"), F.max("updated_at").alias("updated_at"))
-    hits = asked.join(found, "word").groupBy("message_id", "key").agg((F.count(F.lit(1)) + 0.01 * F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"), F.max("updated_at").alias("updated_at"))
+    held = materialize(facts.select("key", F.explode(T.probes(F.concat_ws("\n", "key", "value"))).alias("probe")), "probes")
+    words = asked.select("word").distinct().withColumn("probe", F.substring("word", 1, 4))
+    met = materialize(salted_join(held, words, "probe").select("key", "word").distinct(), "met")
+    known = salted_join(met, facts.select("key", hay.alias("hay"), "confidence", "updated_at"), "key").filter(F.contains("hay", "word"))
+    found = materialize(known.select("word", "key", "confidence", "updated_at"), "found")
+    hits = salted_join(found, asked, "word").groupBy("message_id", "key").agg((F.count(F.lit(1)) + 0.01 * F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"), F.max("updated_at").alias("updated_at"))
     order = W.partitionBy("message_id").orderBy(F.desc("score"), F.desc("updated_at"), "key")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("message_id", "key", "score", "place")
 
 
-def cards(lines: DataFrame, group: str, order: str, most_chars: int = 600) -> DataFrame:
-    """``(group, n_lines, card)``: lines in order while their running length, line ends included, stays in the budget."""
-    run = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    kept = lines.withColumn("run", F.sum(F.char_length("line") + 1).over(run)).filter(F.col("run") <= most_chars)
-    return kept.groupBy(group).agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("card"))
+# The first line of a card of recalled facts, and the one that says that it was cut.
+CARD_HEADER = "【已确认事实 · dsh-thesis】以下是你以前确认过的稳定事实（跨会话记住的，可能过时；与用户当前说法冲突时以用户为准）："
+CUT_MARK = "- …（还有更多事实，需要时用 fact_context 查询）"
+
+
+def cards(lines: DataFrame, group: str, order: str, most_chars: int = 600, header: str = CARD_HEADER, mark: str = CUT_MARK) -> DataFrame:
+    """``(group, n_lines, card)``: a header and lines in order while all of it, line ends included, stays in the budget.
+
+    A card that leaves lines out ends with ``mark``, and is cut at the budget. A line takes a character at least, so only
+    the first ``most_chars`` lines of a group can stand in a card: the others leave before the shuffle, and a flooding
+    group with them.
+    """
+    by = W.partitionBy(group).orderBy(order)
+    seen = lines.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= most_chars)
+    seen = seen.withColumn("run", len(header) + F.sum(F.char_length("line") + 1).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    kept = F.sort_array(F.collect_list(F.when(F.col("run") <= most_chars, F.struct("at", "line"))))
+    card = F.transform("kept", lambda x: x["line"])
+    made = seen.groupBy(group).agg(kept.alias("kept"), F.count(F.lit(1)).alias("n_seen"))
+    whole = F.concat(F.array(F.lit(header)), F.when(F.size("kept") < F.col("n_seen"), F.concat(card, F.array(F.lit(mark)))).otherwise(card))
+    return made.select(group, F.size("kept").cast("bigint").alias("n_lines"), F.substring(F.array_join(whole, "\n"), 1, most_chars).alias("card"))
 
 
 def fingerprint(facts: DataFrame) -> DataFrame:
@@ -83,7 +100,38 @@ def fingerprint(facts: DataFrame) -> DataFrame:
     return facts.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.max("updated_at").cast("string"), F.lit(""))).alias("fingerprint"))
 
 
-def content_fingerprint(df: DataFrame, group: str, key: str, value: str, digits: int = 12) -> DataFrame:
-    """``(group, fingerprint)``: the beginning of a SHA-256 over the group's ``key=value`` lines in key order."""
-    lines = F.sort_array(F.collect_list(F.concat_ws("=", key, value)))
-    return df.groupBy(group).agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, digits).alias("fingerprint"))
+def content_fingerprint(df: DataFrame, group: str, key: str, value: str, digits: int = 12, most: int = 10_000) -> DataFrame:
+    """``(group, fingerprint)``: the beginning of a SHA-256 over the group's ``key=value`` entries in key order.
+
+    For the answers of a specification, which are few: a group of more than ``most`` entries fails the query. Use
+    ``table_fingerprint`` for groups of any size.
+    """
+    counted = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    checked = counted.select(F.col(group).alias("of_group"), F.when(F.col("n") > most, F.raise_error(F.lit("too many entries for one fingerprint")).cast("bigint")).otherwise(F.col("n")).alias("n"))
+    rows = df.join(checked, F.col(group).eqNullSafe(F.col("of_group"))).filter("n > 0")
+    entries = F.sort_array(F.collect_list(F.concat_ws("=", key, value)))
+    return rows.groupBy(group).agg(F.substring(F.sha2(F.array_join(entries, "\0"), 256), 1, digits).alias("fingerprint"))
+
+
+def table_fingerprint(df: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """``(group, n, fingerprint)``: number of rows, and the sum of 60 bits of a SHA-256 of each ``key=value``.
+
+    The order of rows does not matter, repeated rows do, and sums combine before the shuffle: no group is gathered.
+    """
+    bits = F.conv(F.substring(F.sha2(F.concat_ws("=", key, value), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(bits).cast("string").alias("fingerprint"))
+
+
+def checked_facts(facts: DataFrame) -> DataFrame:
+    """Facts with trimmed keys and ``problem``: empty_key, empty_value or confidence (outside 0 to 1); null for a good one."""
+    key = F.trim(F.coalesce("key", F.lit("")))
+    problem = F.when(key == "", "empty_key").when(F.trim(F.coalesce("value", F.lit(""))) == "", "empty_value").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), "confidence")
+    return facts.withColumn("key", key).withColumn("problem", problem)
+
+
+def stable_json(pairs: DataFrame, group: str, key: str, value: str, most: int = 10_000) -> DataFrame:
+    """``(group, json)``: an object a group with its keys in order, the last value of equal keys; for states of few keys."""
+    last = pairs.filter(F.col(key).isNotNull()).groupBy(group, key).agg(F.max(value).alias("value"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "value")))
+    whole = last.groupBy(group).agg(F.count(F.lit(1)).alias("n"), entries.alias("entries"))
+    return whole.select(group, F.when(F.col("n") > most, F.raise_error(F.lit("too many keys for one object"))).otherwise(F.to_json(F.map_from_entries("entries"))).alias("json"))

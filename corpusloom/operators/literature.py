@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.runtime import materialize, numbered
 
 # Words by which a venue is a journal or a conference.
 JOURNAL = "journal|transactions|review|letters|magazine|quarterly|acta|annals"
@@ -35,15 +36,21 @@ def clean_abstract(text: Column, most: int = 600) -> Column:
     return F.when(plain == "", None).when(F.char_length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
 
 
+def plain_doi(doi: Column) -> Column:
+    """A DOI in lower case without resolver or label; null where none is in it."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(doi)), r"(10\.\d{4,9}/\S+)", 1), F.lit(""))
+
+
 def source_name(source: Column) -> Column:
     """A source as typed, in lower case with hyphens and no outer blanks."""
     return F.regexp_replace(F.lower(F.trim(source)), r"\s+", "-")
 
 
 def first_by_id(records: DataFrame, key: str, order: list) -> DataFrame:
-    """The first record of each key in the given order; null keys stay single."""
-    place = W.partitionBy(F.coalesce(F.col(key), F.lit(""))).orderBy(*order)
-    return records.withColumn("place", F.row_number().over(place)).filter((F.col("place") == 1) | F.col(key).isNull()).drop("place")
+    """The first record of each key in the given order; null keys stay single and take part in no grouping."""
+    first = F.min_by(F.struct(*records.columns), F.struct(*order)).alias("first")
+    keyed = records.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("group_key")).agg(first).select("first.*")
+    return keyed.unionByName(records.filter(F.col(key).isNull()))
 
 
 def first_source(records: DataFrame, group: str, source: str, order: list[str] = SOURCE_ORDER) -> DataFrame:
@@ -61,6 +68,11 @@ def rank_records(records: DataFrame, group: str, most: int) -> DataFrame:
     return records.withColumn("score", score).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
 
 
+def since(records: DataFrame, year: int | None, column: str = "pub_year") -> DataFrame:
+    """Records of a year or later, and those of unknown year; all of them for no year."""
+    return records if year is None else records.filter(F.col(column).isNull() | (F.col(column) >= year))
+
+
 def new_records(found: DataFrame, library: DataFrame, key: str, order: list) -> DataFrame:
     """``found`` records whose key is not in the library yet, the first of equal keys; null keys are all kept."""
     fresh = found.join(library.select(key).distinct(), key, "left_anti")
@@ -89,10 +101,10 @@ def cite_keys(records: DataFrame) -> DataFrame:
     def base(author: pd.Series, year: pd.Series, title: pd.Series) -> pd.Series:
         return pd.Series([cite_key(a, y, t) for a, y, t in zip(author, year, title, strict=True)], dtype="object")
 
-    keyed = records.select("rec_id", base(F.get("authors", F.lit(0)), "pub_year", "title").alias("base_key"))
-    place = F.row_number().over(W.partitionBy("base_key").orderBy("rec_id")) - 2
+    keyed = materialize(records.select("rec_id", base(F.get("authors", F.lit(0)), "pub_year", "title").alias("base_key")), "keys")
+    place = F.col("place") - 2
     suffix = F.when(place < 0, "").when(place < 26, F.char(F.lit(97) + place)).otherwise(F.concat(F.lit("x"), place.cast("string")))
-    return keyed.select("rec_id", "base_key", F.concat("base_key", suffix).alias("cite_key"))
+    return numbered(keyed, "base_key", "rec_id").select("rec_id", "base_key", F.concat("base_key", suffix).alias("cite_key"))
 
 
 def bibtex_entry(key: Column, kind: Column, authors: Column, title: Column, venue: Column, year: Column, doi: Column, url: Column) -> Column:
@@ -100,6 +112,6 @@ def bibtex_entry(key: Column, kind: Column, authors: Column, title: Column, venu
     place = F.when(kind == "inproceedings", "booktitle").when(kind == "book", "publisher").when(kind == "phdthesis", "school").when(kind == "misc", "howpublished").otherwise("journal")
     where = F.coalesce(F.nullif(venue, F.lit("")), F.when(kind == "misc", "Preprint").otherwise("unknown"))
     line = lambda name, value: F.concat(F.lit("  "), name if isinstance(name, Column) else F.lit(name), F.lit(" = {"), value, F.lit("}"))
-    names = F.array_join(F.filter(F.transform(authors, F.trim), lambda a: a != ""), " and ")
+    names = F.array_join(F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != ""), " and ")
     lines = F.array(line("author", F.coalesce(names, F.lit(""))), line("title", F.coalesce(title, F.lit(""))), line(place, where), line("year", F.coalesce(year.cast("string"), F.lit(""))), F.when(doi != "", line("doi", doi)), F.when(url != "", line("url", url)))
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(lines, ",\n"), F.lit("\n}"))

@@ -1,49 +1,98 @@
 """Overlap of paragraphs with a reference collection: containment, best hit, risk levels, weighted rate, spans.
 
-Both sides are exploded to distinct shingles and meet in an equi-join: a pair without a common shingle has containment
-0, so nothing is lost. Shingles that flood one side are salted. Sizes are carried along, not recounted.
+Both sides are exploded to distinct shingles, as 64-bit hashes, and meet in an equi-join: a pair without a common shingle
+has containment 0, so nothing is lost. A collection whose shingles are counted and few is sent to all tasks: then the
+shingles of a paragraph stay together, counting combines before the shuffle, and only pairs are moved. Beyond that
+size both sides are shuffled by shingle, and shingles that flood either side are spread over cells.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.runtime import materialize, spread
+from corpusloom.runtime import fits, hot_keys, materialize, spread
 
+SHINGLE, LEAST_RUN, MOST_SPANS = 4, 8, 5
+MOST_SENT = 2_000_000  # shingles of a collection that is sent to all tasks: about 50 MB
+SIDES = 8  # a flooding shingle is met in SIDES x SIDES cells
 
-def fingerprints(df: DataFrame, key: str, normalised: str, n: int) -> DataFrame:
-    """``(key, size, shingle)``: a row per distinct shingle, with their number. Null and empty texts have none."""
-    sets = df.select(key, T.shingles(F.col(normalised), n).alias("all"))
-    return sets.select(key, F.size("all").alias("size"), F.explode("all").alias("shingle"))
 
+def fingerprints(df: DataFrame, key: str, normalised: str, n: int, scope: str | None = None) -> DataFrame:
+    """``(key, size, shingle)``: a row per distinct shingle, as a hash, with their number. Null and empty texts have none.
 
-def containment_hits(segments: DataFrame, corpus: DataFrame, n: int = 4, least: float = 0.0) -> DataFrame:
+    With ``scope``, a column, equal shingles of different scopes are different.
+    """
+    within = [F.col(scope)] if scope else []
+    hashed = F.array_distinct(F.transform(T.shingles(F.col(normalised), n), lambda x: F.xxhash64(x, *within)))
+    return df.select(key, hashed.alias("all")).select(key, F.size("all").alias("size"), F.explode("all").alias("shingle"))
+
+
+def _met(left: DataFrame, right: DataFrame, most_sent: int) -> DataFrame:
+    """All pairs of rows with an equal ``shingle``."""
+    if fits(right, most_sent):
+        return left.join(F.broadcast(right), "shingle")
+    left = materialize(left, "left")
+    hot = [h for h in (hot_keys(left, "shingle"), hot_keys(right, "shingle")) if h is not None]
+    if not hot:
+        return left.join(right, "shingle")
+    every = hot[0] if len(hot) == 1 else hot[0].union(hot[1]).distinct()  # twice MOST_HOT rows at most
+    flagged = lambda df: df.join(F.broadcast(every.withColumn("is_hot", F.lit(True))), "shingle", "left")
+    own = lambda df: F.when(F.col("is_hot"), F.pmod(F.xxhash64(*(c for c in df.columns if c != "shingle")), F.lit(SIDES))).otherwise(0)
+    other = F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SIDES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    a = flagged(left).withColumn("side_a", own(left)).withColumn("side_b", other).drop("is_hot")
+    b = flagged(right).withColumn("side_b", own(right)).withColumn("side_a", other).drop("is_hot")
+    return a.join(b, ["shingle", "side_a", "side_b"])
+
+
+def containment_hits(segments: DataFrame, corpus: DataFrame, n: int = SHINGLE, least: float = 0.0, scope: str | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """``(segment_id, corpus_id, common, containment, jaccard)`` of all pairs with a common shingle.
 
     ``segments`` has ``(segment_id, normalised)``, ``corpus`` ``(corpus_id, normalised)``. Containment is the share of
-    the segment's distinct shingles found in the other text. Pairs below ``least`` are left out.
+    the segment's distinct shingles found in the other text. Pairs below ``least`` are left out. Where ``segments`` has
+    ``own_id``, that corpus text is its own and not compared. ``scope``, a column of both, keeps scopes apart.
     """
-    left = materialize(fingerprints(spread(segments.select("segment_id", "normalised")), "segment_id", "normalised", n).withColumnRenamed("size", "a_size"), "left")
-    right = fingerprints(spread(corpus.select("corpus_id", "normalised")), "corpus_id", "normalised", n).withColumnRenamed("size", "b_size")
-    # each shingle once on the looked-up side, with all its holders: hot ones of either side are then met in parts
-    part = F.pmod(F.xxhash64("corpus_id"), F.lit(8))
-    holders = right.groupBy("shingle", part.alias("part")).agg(F.collect_list(F.struct("corpus_id", "b_size")).alias("holders"))
-    met = left.join(holders, "shingle").select("segment_id", "a_size", F.inline("holders"))
+    own = ["own_id"] if "own_id" in segments.columns else []
+    more = [scope] if scope else []
+    key = F.struct("segment_id", *own).alias("at")
+    left = fingerprints(spread(segments.select(key, "normalised", *more)), "at", "normalised", n, scope).select("at.*", F.col("size").alias("a_size"), "shingle")
+    right = materialize(fingerprints(spread(corpus.select("corpus_id", "normalised", *more)), "corpus_id", "normalised", n, scope).withColumnRenamed("size", "b_size"), "right")
+    met = _met(left, right, most_sent)
+    if own:
+        met = met.filter("corpus_id <> own_id")
     counted = met.groupBy("segment_id", "corpus_id").agg(F.count(F.lit(1)).alias("common"), F.first("a_size").alias("a"), F.first("b_size").alias("b"))
     out = counted.select("segment_id", "corpus_id", "common", (F.col("common") / F.col("a")).alias("containment"), (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("jaccard"))
-    return out.filter(F.col("containment") >= least)
+    return out.filter(F.col("containment") >= least) if least else out
 
 
-def best_hits(hits: DataFrame) -> DataFrame:
-    """``(segment_id, corpus_id, score)``: the highest containment per segment, ties to the smallest corpus id."""
-    best = hits.groupBy("segment_id").agg(F.min_by(F.struct("corpus_id", "containment"), F.struct(-F.col("containment"), F.col("corpus_id"))).alias("best"))
-    return best.select("segment_id", F.col("best.corpus_id").alias("corpus_id"), F.col("best.containment").alias("score"))
+def longest_runs(pairs: DataFrame, shingle: int = SHINGLE, least: int = LEAST_RUN) -> DataFrame:
+    """``(segment_id, corpus_id, longest_run)`` of pairs ``(segment_id, corpus_id, a, b)``; 0 for none of ``least`` characters."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            spans = (common_spans(a or "", b or "", shingle, least, 1) for a, b in zip(pdf.a, pdf.b, strict=True))
+            yield pdf[["segment_id", "corpus_id"]].assign(longest_run=[s[0][0] if s else 0 for s in spans])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select("segment_id", "corpus_id", "a", "b").mapInPandas(run, f"segment_id {kinds['segment_id']}, corpus_id {kinds['corpus_id']}, longest_run long")
+
+
+def best_hits(hits: DataFrame, segments: DataFrame, corpus: DataFrame, shingle: int = SHINGLE, least: int = LEAST_RUN) -> DataFrame:
+    """``(segment_id, corpus_id, score)``: the highest containment per segment, then the longest run, then the smallest id.
+
+    ``hits`` should be materialised. Runs are looked for where the highest containment is shared only.
+    """
+    by_score = hits.groupBy("segment_id", "containment").agg(F.count(F.lit(1)).alias("n"), F.min("corpus_id").alias("corpus_id"))
+    top = materialize(by_score.groupBy("segment_id").agg(F.max(F.struct("containment", "n", "corpus_id")).alias("top")).select("segment_id", "top.*"), "top")
+    tied = hits.join(top.filter("n > 1").select("segment_id", "containment"), ["segment_id", "containment"])
+    texts = tied.join(segments.select("segment_id", F.col("normalised").alias("a")), "segment_id").join(corpus.select("corpus_id", F.col("normalised").alias("b")), "corpus_id")
+    runs = longest_runs(texts, shingle, least).groupBy("segment_id").agg(F.min_by("corpus_id", F.struct(-F.col("longest_run"), F.col("corpus_id"))).alias("longest"))
+    return top.join(runs, "segment_id", "left").select("segment_id", F.coalesce("longest", "corpus_id").alias("corpus_id"), F.col("containment").alias("score"))
 
 
 def risk_level(score: Column, threshold: float) -> Column:
@@ -89,7 +138,7 @@ def top_risks(segments: DataFrame, best: DataFrame, threshold: float = 0.3, most
     return rows.limit(most) if most else rows
 
 
-def common_spans(a: str, b: str, shingle: int = 4, least: int = 8, most: int = 5) -> list[tuple[int, int, int]]:
+def common_spans(a: str, b: str, shingle: int = SHINGLE, least: int = LEAST_RUN, most: int = MOST_SPANS) -> list[tuple[int, int, int]]:
     """``(length, a_start, b_start)`` of the longest common runs, none inside another on both sides.
 
     Probes are the first places of the distinct shingles of the text that has fewer.
@@ -127,15 +176,43 @@ def common_spans(a: str, b: str, shingle: int = 4, least: int = 8, most: int = 5
     return kept
 
 
-def match_spans(pairs: DataFrame, shingle: int = 4, least: int = 8, most: int = 5) -> DataFrame:
-    """``(segment_id, corpus_id, length, a_start, b_start)`` for pairs ``(segment_id, corpus_id, a, b)`` of texts."""
+def raw_places(raw: str) -> list[int]:
+    """The place in the raw text of every character of its normal form."""
+    return [i for m in re.finditer(T.NOT_TOKEN, raw) if m[1] for i in range(*m.span(1))]
+
+
+def match_spans(pairs: DataFrame, shingle: int = SHINGLE, least: int = LEAST_RUN, most: int = MOST_SPANS) -> DataFrame:
+    """``(segment_id, corpus_id, length, a_start, b_start, raw_start, raw_end, line)`` of the common runs of each pair.
+
+    ``pairs`` has ``(segment_id, corpus_id, a, b, raw, line_start)``: ``a`` is the normal form of ``raw``. Offsets in the
+    normal forms are led back to ``raw``, of which ``line`` is the line the run begins in. Null texts have no runs.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(s, c, *span) for s, c, a, b in zip(pdf.segment_id, pdf.corpus_id, pdf.a, pdf.b, strict=True) for span in common_spans(a or "", b or "", shingle, least, most)]
-            yield pd.DataFrame(rows, columns=["segment_id", "corpus_id", "length", "a_start", "b_start"])
+            rows = []
+            for s, c, a, b, raw, line in pdf[["segment_id", "corpus_id", "a", "b", "raw", "line_start"]].itertuples(index=False):
+                if spans := common_spans(a or "", b or "", shingle, least, most):
+                    places = raw_places(raw or "")
+                    for n, i, j in spans:
+                        first, last = (places[i], places[i + n - 1] + 1) if i + n <= len(places) else (-1, -1)
+                        rows.append((s, c, n, i, j, first, last, line + (raw or "").count("\n", 0, max(0, first))))
+            yield pd.DataFrame(rows, columns=["segment_id", "corpus_id", "length", "a_start", "b_start", "raw_start", "raw_end", "line"])
 
     kinds = dict(pairs.dtypes)
-    return pairs.select("segment_id", "corpus_id", "a", "b").mapInPandas(run, f"segment_id {kinds['segment_id']}, corpus_id {kinds['corpus_id']}, length int, a_start int, b_start int")
+    source = pairs.select("segment_id", "corpus_id", "a", "b", "raw", "line_start")
+    return source.mapInPandas(run, f"segment_id {kinds['segment_id']}, corpus_id {kinds['corpus_id']}, length long, a_start long, b_start long, raw_start long, raw_end long, line long")
+
+
+def report_baseline(reports: DataFrame, text: str = "text") -> DataFrame:
+    """The summary figures of earlier reports in Markdown, for ``rate_delta``; reports without the needed ones are left out."""
+    # How the figures are written in a report.
+    figure = {"paragraph_count": r"正文段落：(\d+)\s*段", "matched_count": r"有命中段落：(\d+)\s*段", "high": r"高风险\s*(\d+)\s*段", "medium": r"中风险\s*(\d+)\s*段", "weighted_rate": r"全文加权重复率\*\*估算｜\*\*：([0-9.]+)%"}
+    got = {name: F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for name, p in figure.items()}
+    rows = reports.select("*", *(F.coalesce(v.cast("bigint"), F.lit(0)).alias(n) if n in ("high", "medium") else (v.cast("double") / 100).alias(n) if n == "weighted_rate" else v.cast("bigint").alias(n) for n, v in got.items()))
+    return rows.filter("paragraph_count IS NOT NULL AND matched_count IS NOT NULL AND weighted_rate IS NOT NULL")
 
 
+def detected_rate(rate: Column) -> Column:
+    """A rate of a detection service as a share: above 1 it is in percent; kept within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(rate > 1, rate / 100).otherwise(rate)))

@@ -18,20 +18,21 @@ MANIFESTS = "package.json pnpm-lock.yaml yarn.lock package-lock.json requirement
 SKIP_DIRS = ["node_modules", ".git", "产出", ".paper", "dist", "lib", "__pycache__", ".venv", "venv"]
 # How declarations begin, by language: kind and pattern, the first that fits counts.
 NAME = r"([A-Za-z_$][\w$]*)"
+WORD = r"([A-Za-z_]\w*)"
 DECLARATIONS = {
     "typescript": [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+{NAME}"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{NAME}"), ("interface", rf"^\s*export\s+interface\s+{NAME}"), ("type", rf"^\s*export\s+type\s+{NAME}"), ("enum", rf"^\s*export\s+enum\s+{NAME}"), ("const", rf"^\s*export\s+const\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\(|<)"), ("route", r"\.\s*(?:get|post|put|patch|delete)\s*\(\s*['\"`]([^'\"`]+)['\"`]")],
     "javascript": [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+{NAME}"), ("class", rf"^\s*(?:export\s+)?class\s+{NAME}"), ("route", r"\.\s*(?:get|post|put|patch|delete)\s*\(\s*['\"`]([^'\"`]+)['\"`]")],
-    "python": [("class", rf"^\s*class\s+{NAME}"), ("function", rf"^\s*(?:async\s+)?def\s+{NAME}"), ("route", r"@\w+\.(?:route|get|post|put|delete)\s*\(\s*['\"]([^'\"]+)['\"]")],
-    "java": [("class", rf"^\s*(?:public|protected|private)?\s*(?:final\s+|abstract\s+)?(?:class|interface|enum)\s+{NAME}"), ("method", rf"^\s*(?:public|protected|private)\s+(?:static\s+|final\s+|synchronized\s+)*[\w<>\[\],.\s]+\s+{NAME}\s*\(")],
-    "go": [("function", rf"^func\s+(?:\([^)]*\)\s*)?{NAME}"), ("struct", rf"^type\s+{NAME}\s+struct"), ("interface", rf"^type\s+{NAME}\s+interface")],
-    "rust": [("function", rf"^\s*(?:pub\s+)?(?:async\s+)?fn\s+{NAME}"), ("struct", rf"^\s*(?:pub\s+)?struct\s+{NAME}"), ("enum", rf"^\s*(?:pub\s+)?enum\s+{NAME}"), ("trait", rf"^\s*(?:pub\s+)?trait\s+{NAME}")],
-    "c": [("struct", rf"^\s*(?:typedef\s+)?struct\s+{NAME}"), ("function", rf"^[A-Za-z_][\w\s*]*\s+{NAME}\s*\([^;]*\)\s*\{{")],
-    "cpp": [("class", rf"^\s*class\s+{NAME}"), ("struct", rf"^\s*(?:typedef\s+)?struct\s+{NAME}"), ("function", rf"^[A-Za-z_][\w:<>*&\s]*\s+{NAME}\s*\([^;]*\)\s*\{{")],
-    "csharp": [("class", rf"^\s*(?:public|internal|private|protected)?\s*(?:sealed\s+|abstract\s+|partial\s+)*(?:class|interface|enum|record)\s+{NAME}"), ("method", rf"^\s*(?:public|private|protected|internal)\s+(?:static\s+|async\s+|virtual\s+|override\s+)*[\w<>\[\],.\s]+\s+{NAME}\s*\(")],
-    "php": [("class", rf"^\s*(?:final\s+|abstract\s+)?class\s+{NAME}"), ("function", rf"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+{NAME}")],
-    "ruby": [("class", rf"^\s*class\s+{NAME}"), ("function", r"^\s*def\s+([A-Za-z_]\w*[?!=]?)")],
-    "kotlin": [("class", rf"^\s*(?:data\s+|sealed\s+|open\s+|abstract\s+)?class\s+{NAME}"), ("function", rf"^\s*(?:private\s+|internal\s+|public\s+)?fun\s+{NAME}")],
-    "swift": [("class", rf"^\s*(?:final\s+|open\s+)?(?:class|struct|enum|protocol)\s+{NAME}"), ("function", rf"^\s*(?:public\s+|private\s+|internal\s+)?func\s+{NAME}")],
+    "python": [("class", rf"^\s*class\s+{WORD}"), ("function", rf"^\s*(?:async\s+)?def\s+{WORD}"), ("route", r"@\w+\.(?:route|get|post|put|delete)\s*\(\s*['\"]([^'\"]+)['\"]")],
+    "java": [("class", rf"^\s*(?:public|protected|private)?\s*(?:final\s+|abstract\s+)?(?:class|interface|enum)\s+{WORD}"), ("method", rf"^\s*(?:public|protected|private)\s+(?:static\s+|final\s+|synchronized\s+)*[\w<>\[\],.\s]+\s+{WORD}\s*\(")],
+    "go": [("function", rf"^func\s+(?:\([^)]*\)\s*)?{WORD}"), ("struct", rf"^type\s+{WORD}\s+struct"), ("interface", rf"^type\s+{WORD}\s+interface")],
+    "rust": [("function", rf"^\s*(?:pub\s+)?(?:async\s+)?fn\s+{WORD}"), ("struct", rf"^\s*(?:pub\s+)?struct\s+{WORD}"), ("enum", rf"^\s*(?:pub\s+)?enum\s+{WORD}"), ("trait", rf"^\s*(?:pub\s+)?trait\s+{WORD}")],
+    "c": [("struct", rf"^\s*(?:typedef\s+)?struct\s+{WORD}"), ("function", rf"^[A-Za-z_][\w\s*]*\s+{WORD}\s*\([^;]*\)\s*\{{")],
+    "cpp": [("class", rf"^\s*class\s+{WORD}"), ("struct", rf"^\s*(?:typedef\s+)?struct\s+{WORD}"), ("function", rf"^[A-Za-z_][\w:<>*&\s]*\s+{WORD}\s*\([^;]*\)\s*\{{")],
+    "csharp": [("class", rf"^\s*(?:public|internal|private|protected)?\s*(?:sealed\s+|abstract\s+|partial\s+)*(?:class|interface|enum|record)\s+{WORD}"), ("method", rf"^\s*(?:public|private|protected|internal)\s+(?:static\s+|async\s+|virtual\s+|override\s+)*[\w<>\[\],.\s]+\s+{WORD}\s*\(")],
+    "php": [("class", rf"^\s*(?:final\s+|abstract\s+)?class\s+{WORD}"), ("function", rf"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+{WORD}")],
+    "ruby": [("class", rf"^\s*class\s+{WORD}"), ("function", r"^\s*def\s+([A-Za-z_]\w*[?!=]?)")],
+    "kotlin": [("class", rf"^\s*(?:data\s+|sealed\s+|open\s+|abstract\s+)?class\s+{WORD}"), ("function", rf"^\s*(?:private\s+|internal\s+|public\s+)?fun\s+{WORD}")],
+    "swift": [("class", rf"^\s*(?:final\s+|open\s+)?(?:class|struct|enum|protocol)\s+{WORD}"), ("function", rf"^\s*(?:public\s+|private\s+|internal\s+)?func\s+{WORD}")],
     "sql": [("table", r"(?i)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?([A-Za-z_]\w*)"), ("view", r"(?i)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+[`\"\[]?([A-Za-z_]\w*)")],
     "shell": [("function", r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\s*\)\s*\{")],
     "vue": [("component", r"^\s*defineComponent\s*\(\s*\{?\s*name:\s*['\"]([^'\"]+)['\"]"), ("function", rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{NAME}"), ("const", rf"^\s*const\s+{NAME}\s*=\s*(?:ref|reactive|computed|defineProps|defineEmits)\b")],
@@ -80,24 +81,27 @@ def unsupported_reason(path: Column) -> Column:
     return F.when(file_kind(path) == "unsupported", F.when(extension(path).isin(LEGACY.split()), "legacy_office").otherwise("unknown_format"))
 
 
-def line_counts(files: DataFrame, most: int = 20_000) -> DataFrame:
+def line_counts(files: DataFrame, most: int | None = 20_000) -> DataFrame:
     """``(rel, language, lines, blank_lines, comment_lines, code_lines, truncated)`` per source file ``(rel, text)``.
 
-    Lines after the first ``most`` are not read. A file of unknown language is left out, a null text counts as empty.
+    Lines after the first ``most`` are not read (None reads all). A file of unknown language is left out, a null text counts as empty.
     """
     rows = files.withColumn("language", language(F.col("rel"))).filter("language IS NOT NULL")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = rows.withColumn("all_lines", split).withColumn("head", F.slice("all_lines", 1, most))
+    rows = rows.withColumn("all_lines", split).withColumn("head", F.slice("all_lines", 1, most) if most else F.col("all_lines"))
     mark = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in COMMENTS.items() for x in (k, v))), F.col("language")), F.lit(r"//|/\*|\*"))
     blank = F.size(F.filter("head", lambda x: x.rlike(r"^\s*$")))
     comment = F.size(F.filter("head", lambda x: F.regexp_like(x, F.concat(F.lit(r"^\s*(?:"), mark, F.lit(")")))))
-    return rows.select("rel", "language", F.size("all_lines").alias("lines"), blank.alias("blank_lines"), comment.alias("comment_lines"), (F.size("head") - blank - comment).alias("code_lines"), (F.size("all_lines") > most).alias("truncated"))
+    return rows.select("rel", "language", F.size("all_lines").alias("lines"), blank.alias("blank_lines"), comment.alias("comment_lines"), (F.size("head") - blank - comment).alias("code_lines"), (F.size("all_lines") > most if most else F.lit(False)).alias("truncated"))
 
 
-def declarations(files: DataFrame, most: int = 40, most_lines: int = 20_000) -> DataFrame:
-    """``(rel, language, kind, name, line)``: the first ``most`` distinct declarations per file, in order of line."""
+def declarations(files: DataFrame, most: int | None = 40, most_lines: int | None = 20_000) -> DataFrame:
+    """``(rel, language, kind, name, line)``: the first ``most`` distinct declarations per file, in order of line.
+
+    None for either limit keeps all.
+    """
     rows = files.withColumn("language", language(F.col("rel"))).filter("language IS NOT NULL")
-    lines = rows.select("rel", "language", F.posexplode(F.slice(F.split("text", "\n"), 1, most_lines)).alias("pos", "code"))
+    lines = rows.select("rel", "language", F.posexplode(F.slice(F.split("text", "\n"), 1, most_lines) if most_lines else F.split("text", "\n")).alias("pos", "code"))
     mark = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in COMMENTS.items() for x in (k, v))), F.col("language")), F.lit(r"//|/\*|\*"))
     lines = lines.filter(~F.regexp_like("code", F.concat(F.lit(r"^\s*(?:"), mark, F.lit(")"))))
     hit = F.lit(None).cast("struct<kind:string,name:string>")
@@ -105,6 +109,8 @@ def declarations(files: DataFrame, most: int = 40, most_lines: int = 20_000) ->
         tries = [F.when((F.col("language") == lang) & F.col("code").rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", p, 1).alias("name"))) for kind, p in patterns]
         hit = F.coalesce(hit, *tries)
     found = lines.withColumn("hit", hit).filter("hit.name <> ''").groupBy("rel", "language", F.col("hit.kind").alias("kind"), F.col("hit.name").alias("name")).agg((F.min("pos") + 1).alias("line"))
+    if most is None:
+        return found
     place = W.partitionBy("rel").orderBy("line", "kind", "name")
     return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).drop("place")
 
@@ -118,3 +124,10 @@ def tech_stack(manifests: DataFrame) -> DataFrame:
 def language_rollup(counts: DataFrame) -> DataFrame:
     """``(language, files, lines, code_lines)`` per language and in total (null language)."""
     return counts.rollup("language").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("code_lines"), F.lit(0)).alias("code_lines"))
+
+
+def largest(counts: DataFrame, most: int) -> DataFrame:
+    """``(rel, lines, place)``: the ``most`` longest files, ties by name."""
+    top = counts.select("rel", F.col("lines").cast("bigint").alias("lines")).orderBy(F.desc("lines"), "rel").limit(most)
+    # ``most`` rows are left: one small window
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("lines"), "rel")).cast("bigint"))

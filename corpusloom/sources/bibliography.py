@@ -15,6 +15,16 @@ def bib_keys(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.posexplode(found).alias("pos", "cite_key")).select(key, (F.col("pos") + 1).alias("number"), "cite_key")
 
 
+def bib_entry(df: DataFrame, key: str, cite_key: str, text: str = "text") -> DataFrame:
+    """``(key, kind, fields)`` of the entry a BibTeX text has under a key: its kind and a map of its braced or quoted fields."""
+    entries = F.split(text, r"(?m)^(?=@\w+\s*\{)")
+    found = F.filter(entries, lambda e: F.regexp_extract(e, r"^@\w+\s*\{\s*([^,\s]+)", 1) == cite_key)
+    rows = df.select(key, F.get(found, F.lit(0)).alias("entry")).filter("entry IS NOT NULL")
+    field = r'(?m)^\s*(\w+)\s*=\s*[{"](.*?)[}"],?\s*$'
+    names, values = (F.regexp_extract_all("entry", F.lit(field), n) for n in (1, 2))
+    return rows.select(key, F.lower(F.regexp_extract("entry", r"^@(\w+)", 1)).alias("kind"), F.map_from_arrays(F.transform(names, F.lower), values).alias("fields"))
+
+
 def bib_dois(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, doi)``: the distinct DOIs of BibTeX texts, in lower case."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)doi\s*=\s*[{\"]([^}\"\s]+)[}\"]"), 1)

@@ -9,8 +9,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import profile as P
-from corpusloom.runtime import materialize
+from corpusloom.runtime import materialize, move, remove
+from corpusloom.sources.pdf import read_pdf
 
 MAX_DEPTH, MAX_FILES, MAX_BYTES, MAX_CHARS = 6, 200, 32 << 20, 60_000
 MAX_ENTRIES, MAX_ROWS, MAX_SLIDES = 4096, 5000, 500
@@ -75,7 +76,20 @@ def open_zip(raw: bytes) -> dict[str, Callable[[], bytes]]:
 
         return read
 
-    return {i.filename.replace("\\", "/"): reader(i) for i in infos}
+    return {entry_name(i).replace("\\", "/"): reader(i) for i in infos}
+
+
+def entry_name(info: zipfile.ZipInfo) -> str:
+    """The name of an archive entry: UTF-8 where it says so, else UTF-8 or GBK if its bytes are, else as CP437."""
+    if info.flag_bits & 0x800 or info.filename.isascii():
+        return info.filename
+    raw = info.filename.encode("cp437", "replace")
+    for encoding in ("utf-8", "gbk"):
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return info.filename
 
 
 def _local(tag: str) -> str:
@@ -129,10 +143,11 @@ def _is_date_format(code: str) -> bool:
     return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower())))
 
 
-def read_xlsx(raw: bytes) -> Iterator[tuple[str, int, int, str, str]]:
+def read_xlsx(raw: bytes, most_rows: int | None = None) -> Iterator[tuple[str, int, int, str, str]]:
     """``(sheet, row, column, kind, value)`` of the cells of all sheets; kinds are text, number, date and bool.
 
-    Dates stay serial numbers, flagged by their format. Rows after the first 5000 of a sheet are left out.
+    Dates stay serial numbers, flagged by their format. ``most_rows`` keeps the first rows of a sheet and ends a cut sheet
+    with a cell of kind ``cut``; None keeps all.
     """
     entries = open_zip(raw)
     xml = lambda name: ElementTree.fromstring(entries[name]()) if name in entries else None
@@ -150,7 +165,10 @@ def read_xlsx(raw: bytes) -> Iterator[tuple[str, int, int, str, str]]:
         rid = next((v for k, v in sheet.attrib.items() if _local(k) == "id"), "")
         target = targets.get(rid, f"worksheets/sheet{number}.xml")
         tree = xml(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
-        for place, row in enumerate(children(tree, "row")[:MAX_ROWS], 1):
+        for place, row in enumerate(children(tree, "row"), 1):
+            if most_rows is not None and place > most_rows:
+                yield sheet.get("name", ""), place, 0, "cut", ""
+                break
             for spot, cell in enumerate(n for n in row if _local(n.tag) == "c"):
                 kind, style = cell.get("t", "n"), int(cell.get("s", "0") or 0)
                 value = next((n.text or "" for n in cell if _local(n.tag) == "v"), "")
@@ -170,7 +188,9 @@ def read_xlsx(raw: bytes) -> Iterator[tuple[str, int, int, str, str]]:
 def sheet_text(cells: list[tuple[str, int, int, str, str]]) -> str:
     """Sheets as tab-separated lines under their names, short rows filled up by column."""
     sheets: dict[str, dict[int, dict[int, str]]] = {}
-    for sheet, row, column, _, value in cells:
+    for sheet, row, column, kind, value in cells:
+        if kind == "cut":
+            continue
         sheets.setdefault(sheet, {}).setdefault(row, {})[column] = re.sub(r"\s+", " ", value)
     blocks = []
     for name, rows in sheets.items():
@@ -180,91 +200,89 @@ def sheet_text(cells: list[tuple[str, int, int, str, str]]) -> str:
 
 
 def read_pptx(raw: bytes) -> list[tuple[int, str]]:
-    """``(slide number, text)`` in numeric order of the slides, at most 500."""
+    """``(slide number, text)`` of all slides, in numeric order."""
     entries = open_zip(raw)
     slides = sorted((int(m[1]), n) for n in entries if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
     if not slides:
         raise ValueError("no slides")
     out = []
-    for number, name in slides[:MAX_SLIDES]:
+    for number, name in slides:
         lines = ["".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in ElementTree.fromstring(entries[name]()).iter() if _local(p.tag) == "p"]
         out.append((number, "\n".join(x for x in lines if x.strip())))
     return out
 
 
-def read_pdf(raw: bytes) -> str:
-    """Text shown by the content streams, as far as it is plainly encoded; raises where nothing readable is found.
+class Limits(NamedTuple):
+    """What is kept of one file; a file that is cut says so. None keeps all."""
 
-    Streams are inflated where they are deflated. Fonts with their own code maps are not resolved.
-    """
-    if not raw.lstrip().startswith(b"%PDF"):
-        raise ValueError("no PDF")
-    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", raw):
-        raise ValueError("encrypted")
-    texts = []
-    for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", raw, re.S):
-        data = m[2]
-        if b"/FlateDecode" in m[1]:
-            try:
-                data = zlib.decompressobj().decompress(data, MAX_BYTES)
-            except zlib.error:
-                continue
-        for block in re.findall(rb"BT\b(.*?)\bET", data, re.S):
-            line = []
-            for show in re.finditer(rb"\[((?:\\.|[^\]])*)\]\s*TJ|(\((?:\\.|[^()\\])*\))\s*(?:Tj|'|\")|(T\*|\bTd\b|\bTD\b)", block, re.S):
-                if show[3]:
-                    line.append("\n")
-                    continue
-                for part in re.findall(rb"\(((?:\\.|[^()\\])*)\)", show[1] or show[2], re.S):
-                    plain = re.sub(rb"\\([0-7]{1,3})", lambda o: bytes([int(o[1], 8) & 255]), part)
-                    plain = re.sub(rb"\\([nrtbf()\\])", lambda o: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}.get(o[1], o[1]), plain)
-                    line.append(plain.decode("utf-16-be", "replace")[1:] if plain[:2] == b"\xfe\xff" else plain.decode("latin-1"))
-            texts.append("".join(line))
-    text = re.sub(r"\n{2,}", "\n", "\n".join(texts)).strip()
-    if not text:
-        raise ValueError("no readable text")
-    return text
-
-
-def _extract(kind: str, name: str, raw: bytes) -> tuple[bool, str, str | None, str | None]:
-    if len(raw) > MAX_BYTES:
-        return False, "", None, "too_large"
+    bytes: int | None = MAX_BYTES
+    rows: int | None = MAX_ROWS
+    slides: int | None = MAX_SLIDES
+
+
+def _extract(kind: str, name: str, raw: bytes, limits: Limits) -> tuple[bool, str, str | None, str | None, bool, bool]:
+    """Whether it was read, text, title, note, whether it was cut, whether the text is doubtful."""
+    failed = lambda note: (False, "", None, note, False, False)
+    if limits.bytes is not None and len(raw) > limits.bytes:
+        return failed("too_large")
     try:
         if kind == "docx":
             title, parts = read_docx(raw)
-            return True, "\n".join(parts), title, None
+            return True, "\n".join(parts), title, None, False, False
         if kind == "xlsx":
-            return True, sheet_text(list(read_xlsx(raw))), None, None
+            cells = list(read_xlsx(raw, limits.rows))
+            return True, sheet_text(cells), None, None, any(c[3] == "cut" for c in cells), False
         if kind == "pptx":
-            return True, "\n\n".join(f"## {n}\n{t}" for n, t in read_pptx(raw)), None, None
+            slides = read_pptx(raw)
+            kept = slides if limits.slides is None else slides[: limits.slides]
+            empty = sum(not text for _, text in kept)
+            return True, "\n\n".join(f"## {n}\n{t}" for n, t in kept), None, None, len(kept) < len(slides), empty * 2 > len(kept)
         if kind == "pdf":
-            return True, read_pdf(raw), None, None
+            text, doubtful = read_pdf(raw)
+            return True, text, None, None, False, doubtful
         if kind in ("text", "code"):
             if raw[:2] not in (b"\xff\xfe", b"\xfe\xff") and looks_binary(raw):
-                return False, "", None, "binary"
-            return True, decode_bytes(raw), None, None
-        return False, "", None, "legacy_office" if name.lower().endswith(tuple("." + e for e in P.LEGACY.split())) else "unknown_format"
+                return failed("binary")
+            return True, decode_bytes(raw), None, None, False, False
+        return failed("legacy_office" if name.lower().endswith(tuple("." + e for e in P.LEGACY.split())) else "unknown_format")
     except Exception as error:  # a broken file is a row of its own
-        return False, "", None, f"{type(error).__name__}: {error}"[:200]
+        return failed(f"{type(error).__name__}: {error}"[:200])
 
 
-def extract_text(files: DataFrame, most_chars: int | None = MAX_CHARS) -> DataFrame:
-    """``(rel, kind, ok, text, title, note, truncated)`` for every file ``(rel, kind, content)``.
+def extract_text(files: DataFrame, most_chars: int | None = MAX_CHARS, limits: Limits = Limits()) -> DataFrame:
+    """``(rel, kind, ok, text, title, note, truncated, doubtful)`` for every file ``(rel, kind, content)``.
 
     Null content fails with a note, an empty file gives empty text. HTML is turned to plain text. ``most_chars`` cuts the
-    text and says so; None keeps it whole.
+    text, ``limits`` rows and slides, and ``truncated`` says so; None keeps all. ``doubtful`` marks slides of which most
+    are empty and PDF text that is partly unreadable.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(rel, kind, *(_extract(kind, rel, raw) if raw is not None else (False, "", None, "missing"))) for rel, kind, raw in zip(pdf.rel, pdf.kind, pdf.content, strict=True)]
-            yield pd.DataFrame(rows, columns=["rel", "kind", "ok", "text", "title", "note"])
+            rows = [(rel, kind, *(_extract(kind, rel, raw, limits) if raw is not None else (False, "", None, "missing", False, False))) for rel, kind, raw in zip(pdf.rel, pdf.kind, pdf.content, strict=True)]
+            yield pd.DataFrame(rows, columns=["rel", "kind", "ok", "text", "title", "note", "truncated", "doubtful"])
 
-    out = files.select("rel", "kind", "content").mapInPandas(run, "rel string, kind string, ok boolean, text string, title string, note string")
+    out = files.select("rel", "kind", "content").mapInPandas(run, "rel string, kind string, ok boolean, text string, title string, note string, truncated boolean, doubtful boolean")
     out = out.withColumn("text", F.when(P.extension(F.col("rel")).isin("html", "htm"), T.html_to_text(F.col("text"))).otherwise(F.col("text")))
     if most_chars is None:
-        return out.withColumn("truncated", F.lit(False))
-    return out.withColumn("truncated", F.char_length("text") > most_chars).withColumn("text", F.substring("text", 1, most_chars))
+        return out
+    return out.withColumn("truncated", F.col("truncated") | (F.char_length("text") > most_chars)).withColumn("text", F.substring("text", 1, most_chars))
+
+
+def corpus_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md", "txt", "tex", "csv")) -> tuple[DataFrame, DataFrame]:
+    """``(file, label, text)`` of the plain texts directly in a folder, and ``(file, note)`` of those that cannot be read.
+
+    Hidden files are left out. A folder that is missing or empty gives no rows.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*").load(root)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        files = spark.createDataFrame([], "path string, content binary")
+    named = files.select(F.substring_index("path", "/", -1).alias("rel"), F.lit("text").alias("kind"), "content").filter(P.extension(F.col("rel")).isin(*extensions))
+    read = materialize(extract_text(named, None), "corpus")
+    return read.filter("ok").select(F.col("rel").alias("file"), F.regexp_replace("rel", r"\.[^.]+$", "").alias("label"), "text"), read.filter("NOT ok").select(F.col("rel").alias("file"), "note")
 
 
 def xlsx_cells(files: DataFrame) -> DataFrame:
@@ -284,8 +302,8 @@ def xlsx_cells(files: DataFrame) -> DataFrame:
 
 
 def ingest_summary(extracted: DataFrame) -> DataFrame:
-    """One row: files read, failed and cut."""
-    return extracted.agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("truncated").alias("truncated"))
+    """One row: files read, failed, cut and doubtful."""
+    return extracted.agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("truncated").alias("truncated"), F.count_if("doubtful").alias("doubtful"))
 
 
 def assemble_corpus(*parts: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -300,9 +318,15 @@ def assemble_corpus(*parts: DataFrame, exclude: DataFrame | None = None) -> Data
     return best.select("file", "first.label", "first.text")
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """Overwrite a report table."""
-    df.write.mode("overwrite").parquet(path)
+def write_report(df: DataFrame, path: str, keep_backup: bool = False) -> None:
+    """Overwrite a report table: written beside it first, then put in its place; with ``keep_backup`` the old one stays as ``.bak``."""
+    spark, fresh = df.sparkSession, f"{path}.new"
+    df.write.mode("overwrite").parquet(fresh)
+    remove(spark, f"{path}.bak")
+    move(spark, path, f"{path}.bak")
+    move(spark, fresh, path)
+    if not keep_backup:
+        remove(spark, f"{path}.bak")
 
 
 def write_new(df: DataFrame, path: str, key: str) -> DataFrame:

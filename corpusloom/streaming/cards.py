@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions import text as T
+from corpusloom.operators import facts as K
+from corpusloom.runtime import materialize
 
 
 def user_messages(messages: DataFrame, least: int = 8) -> DataFrame:
@@ -24,38 +27,72 @@ def matching_messages(messages: DataFrame, patterns: list[str], bypass: list[str
     return messages.filter(any_of(patterns) & ~any_of(bypass))
 
 
+# Commands that destroy something, by label; the first that fits counts.
+DESTRUCTIVE = [
+    ("delete_tree", r"\brm\s+(?:-[a-zA-Z]*r[a-zA-Z]*f|-[a-zA-Z]*f[a-zA-Z]*r)\b"),
+    ("hard_reset", r"\bgit\s+reset\s+--hard\b"),
+    ("force_push", r"\bgit\s+push\b.*(?:--force\b|\s-f\b)"),
+    ("clean", r"\bgit\s+clean\s+-[a-zA-Z]*f"),
+    ("drop", r"(?i)\bdrop\s+(?:table|database)\b"),
+    ("format", r"\bmkfs(?:\.\w+)?\b"),
+]
+
+
 def first_rule(text, rules: list[tuple[str, str]]):
     """Label of the first rule ``(label, pattern)`` that a text matches, or null."""
     return F.coalesce(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules)) if rules else F.lit(None).cast("string")
 
 
-def changed_only(stream: DataFrame, key: str, fingerprint: str, ttl: str | None = None) -> DataFrame:
-    """``(key, fingerprint)`` of the rows whose fingerprint differs from the last one seen for their key.
+def changed_only(stream: DataFrame, key: str, fingerprint: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+    """``(key, fingerprint, *carry)`` of the rows whose fingerprint differs from the last one seen for their key.
 
-    Within a batch, rows of one key are taken in the order of ``seq``. State is one string per key; with ``ttl`` (a
-    duration, processing time) it is forgotten after that long without rows. Null keys and fingerprints are dropped.
+    Within a batch, rows of one key are taken in the order of ``seq``; only the columns named here are held for it, for
+    the rows of one key in one micro-batch (limit those by the source's options). State is one string per key; with
+    ``ttl`` (a duration, processing time) it is forgotten after that long without rows. Null keys and fingerprints are
+    dropped.
     """
+    carried = carry or []
 
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        out = []
-        for value in pd.concat(list(frames)).sort_values("seq")[fingerprint]:
-            if value != last:
-                out.append((keys[0], value))
-                last = value
-        state.update((last,))
+        rows = pd.concat([pdf[[fingerprint, "seq", *carried]] for pdf in frames]).sort_values("seq", kind="stable")
+        before = rows[fingerprint].shift(1)
+        before.iloc[0] = state.get[0] if state.exists else None
+        fresh = rows[rows[fingerprint] != before]
+        state.update((str(rows[fingerprint].iloc[-1]),))
         if ttl:
             state.setTimeoutDuration(ttl)
-        if out:
-            yield pd.DataFrame(out, columns=[key, fingerprint])
+        if len(fresh):
+            yield pd.DataFrame({key: keys[0], fingerprint: fresh[fingerprint].to_numpy(), **{c: fresh[c].to_numpy() for c in carried}})
 
     kinds = dict(stream.dtypes)
-    rows = stream.select(key, fingerprint, "seq").filter(F.col(key).isNotNull() & F.col(fingerprint).isNotNull())
+    rows = stream.select(key, F.col(fingerprint).cast("string").alias(fingerprint), "seq", *carried).filter(F.col(key).isNotNull() & F.col(fingerprint).isNotNull())
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kinds[key]}, {fingerprint} {kinds[fingerprint]}", "last string", "append", timeout)
+    schema = ", ".join([f"{key} {kinds[key]}", f"{fingerprint} string", *(f"{c} {kinds[c]}" for c in carried)])
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "last string", "append", timeout)
+
+
+def recall_cards(messages: DataFrame, facts: DataFrame, out: str, checkpoint: str, most: int = 4, most_chars: int = 600) -> StreamingQuery:
+    """Start a stream that writes ``(agent_id, message_id, fingerprint, n_lines, card)`` to ``out``.
+
+    ``messages`` is a stream of ``(agent_id, message_id, seq, text)``. A message of a user that asks for something gets
+    the card of the facts it recalls once per agent and state of the fact table, which is read when the stream starts.
+    """
+    stamp = K.fingerprint(facts).first()[0]
+    asked = user_messages(messages).withColumn("fingerprint", F.lit(stamp))
+    first = changed_only(asked, "agent_id", "fingerprint", ["message_id", "text"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = materialize(batch, "messages")
+        found = K.recall(facts, batch, most).join(facts.select("key", "value"), "key")
+        lines = found.select("message_id", "place", F.concat(F.lit("- "), "key", F.lit(" = "), "value").alias("line"))
+        made = batch.select("agent_id", "message_id", "fingerprint").join(K.cards(lines, "message_id", "place", most_chars), "message_id")
+        # a batch that is run again writes over its own folder
+        made.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return first.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def recall_stream(messages: DataFrame, facts: DataFrame) -> DataFrame:

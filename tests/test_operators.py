@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import runtime as R
 from corpusloom.functions import text as T
 from corpusloom.operators import citations as C
 from corpusloom.operators import facts as K
@@ -35,7 +36,7 @@ def brute(segments, corpus, n):
     return out
 
 
-def test_containment_equals_naive(spark):
+def test_containment_equals_naive(spark, monkeypatch):
     words = ["甲乙丙丁戊己庚辛", "子丑寅卯辰巳午未", "天地玄黄宇宙洪荒", "日月盈昃辰宿列张"]
     segments = [(f"s{i}", words[i % 4] + words[(i * 3 + 1) % 4] + str(i)) for i in range(12)] + [("e", ""), ("n", None)]
     corpus = [(f"c{i}", words[i % 4] * 2) for i in range(6)] + [("e", ""), ("n", None)]
@@ -44,12 +45,24 @@ def test_containment_equals_naive(spark):
     want = brute(segments, corpus, 4)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
-    assert O.containment_hits(a.limit(0), b, 4).count() == 0
+    assert O.containment_hits(a.limit(0), b, 4).count() == 0 and O.containment_hits(a, b.limit(0), 4).count() == 0
+    # the same where the collection is too large to be sent, with every shingle as a flooding one
+    monkeypatch.setattr(R.hot_keys, "__defaults__", (0,))
+    wide = {(r.segment_id, r.corpus_id): (r.common, r.containment, r.jaccard) for r in O.containment_hits(a, b, 4, most_sent=0).collect()}
+    assert wide.keys() == want.keys() and all(wide[k] == pytest.approx(want[k]) for k in want)
+    scoped = O.containment_hits(a.withColumn("w", F.substring("segment_id", 2, 1)), b.withColumn("w", F.lit("1")).withColumn("extra", F.lit(0)), 4, scope="w")
+    assert {r.segment_id for r in scoped.collect()} <= {"s1", "s10", "s11"}
+    own = O.containment_hits(a.withColumn("own_id", F.lit("c0")), b, 4)
+    assert {r.corpus_id for r in own.collect()} == {c for _, c in want if c != "c0"}
 
 
 def test_best_and_levels(spark):
     hits = spark.createDataFrame([("a", "y", 0.5), ("a", "x", 0.5), ("b", "x", 0.2), ("c", "x", 0.1)], "segment_id string, corpus_id string, containment double")
-    best = O.best_hits(hits)
+    texts = spark.createDataFrame([("a", "甲乙丙丁戊己庚辛壬癸"), ("b", "t"), ("c", None)], "segment_id string, normalised string")
+    corpus = spark.createDataFrame([("x", "零甲乙丙丁"), ("y", "甲乙丙丁戊己庚辛零")], "corpus_id string, normalised string")
+    # a tie in containment goes to the longer common run, then to the smaller id
+    assert {(r.segment_id, r.corpus_id) for r in O.best_hits(hits, texts, corpus).collect()} == {("a", "y"), ("b", "x"), ("c", "x")}
+    best = O.best_hits(hits, texts, corpus.withColumn("normalised", F.lit("别")))
     assert {(r.segment_id, r.corpus_id) for r in best.collect()} == {("a", "x"), ("b", "x"), ("c", "x")}
     segments = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("d", 10)], "segment_id string, n_chars int")
     row = O.risk_summary(segments, best, 0.3).first()
@@ -68,13 +81,25 @@ def test_spans():
 
 def test_style(spark):
     text = "综上所述，随着信息技术的发展，本方法具有一定的意义。作为AI，被用于测试。"
-    rows = Y.style_findings(spark.createDataFrame([(1, text), (1, text), (2, None)], "id int, raw string"), "id").collect()
+    rows = Y.style_findings(spark.createDataFrame([(1, "# 题\n\n" + text + "\n\n" + text), (2, None), (3, "")], "id int, text string"), "id").collect()
     assert {r.rule for r in rows} == {"cliche", "empty_conclusion", "self_disclosure", "translationese"}
-    assert len(rows) == len({(r.rule, r.hit) for r in rows})
+    assert len(rows) == len({(r.rule, r.hit) for r in rows}) and {r.line for r in rows} == {3}
+    many = "，".join(f"对{'甲乙丙丁戊己庚辛壬癸'[k] * 2}进行了说明" for k in range(10))
+    first = Y.style_findings(spark.createDataFrame([(1, many)], "id int, text string"), "id").collect()
+    assert [r.hit[1] for r in first] == list("甲乙丙丁戊己庚辛")
+    totals = {r.id: (r.n_findings, r.n_errors) for r in Y.finding_totals(spark.createDataFrame([(1, "a", "error"), (1, "b", "warn"), (2, "b", "warn")], "id int, rule string, level string"), "id").collect()}
+    assert totals == {1: (2, 1), 2: (1, 0), None: (3, 1)}
     plain = spark.createDataFrame([(1, 1, "春" * 120), (1, 2, "春" * 120 + "系统"), (1, 3, "春" * 120 + "3")], "id int, line_start int, raw string")
     assert [r.line_start for r in Y.anchorless(plain, "id").collect()] == [1]
-    runs = spark.createDataFrame([(1, i, t) for i, t in enumerate(["首先研究内容甲", "首先研究内容乙", "首先研究内容丙", "其他"])], "id int, line_start int, raw string")
-    assert [(r.n_paragraphs, r.line_start) for r in S.opening_runs(runs, "id", 4).collect()] == [(3, 0)]
+    body = "内容足够长的一段文字，超过二十个字符才算一段。"
+    runs = spark.createDataFrame([(1, "\n\n".join(f"首先研究{x}" + body for x in "甲乙丙") + "\n\n其他" + body), (2, None)], "id int, text string")
+    assert [(r.opening, r.n_paragraphs, r.line_start) for r in S.opening_runs(runs, "id", prefix=4).collect()] == [("首先研究", 3, 1)]
+    mixed = spark.createDataFrame([(1, f"# 题\n| a |\n- 项\n  {body}\n续行\n\n短\n\n- {body}"), (2, None)], "id int, text string")
+    assert [(r.line_start, r.raw) for r in S.style_paragraphs(mixed, "id").collect()] == [(2, body + "续行")]
+    sections = spark.createDataFrame([(1, "- [x] 零\n# A\n- [x] 一\n- [ ] 二\n## B\n无"), (2, None)], "id int, text string")
+    assert {(r.section, r.checked, r.unchecked) for r in Y.section_checklists(sections, "id").collect()} == {("", 1, 0), ("A", 1, 1)}
+    deck = spark.createDataFrame([(1, "# 一\n---\n\n---\n二"), (2, None)], "id int, text string")
+    assert [(r.slide_no, r.slide) for r in Y.slides(deck, "id").collect()] == [(1, "# 一"), (2, "二")]
     marks = spark.createDataFrame([(1, "TODO 和 TODO（待补）"), (2, "无"), (3, None)], "id int, text string")
     assert [(r.id, r.n_hits, r.samples) for r in Y.placeholders(marks, "id").collect()] == [(1, 3, "TODO、（待补）")]
     boxes = spark.createDataFrame([(1, "- [x] a\n- [ ] b\n- [x] c"), (2, None)], "id int, text string")
@@ -117,7 +142,17 @@ def test_facts(spark):
     messages = spark.createDataFrame([(1, "请调整查重阈值"), (2, None)], "message_id int, text string")
     assert [(r.message_id, r.key) for r in K.recall(facts, messages).collect()] == [(1, "alpha.a")]
     lines = spark.createDataFrame([("g", 1, "x" * 10), ("g", 2, "y" * 10), ("g", 3, "z")], "g string, k int, line string")
-    assert K.cards(lines, "g", "k", 22).first().n_lines == 2
+    card = K.cards(lines, "g", "k", 24, "", "…").first()
+    assert card.n_lines == 3 and card.card == "\n" + "\n".join(["x" * 10, "y" * 10, "z"])
+    assert K.cards(lines, "g", "k", 22, "h", "…").first().card == "h\n" + "x" * 10 + "\n…"
+    assert K.table_fingerprint(lines, "g", "k", "line").first() == K.table_fingerprint(lines.orderBy(F.desc("k")), "g", "k", "line").first()
+    import hashlib
+
+    assert K.content_fingerprint(lines, "g", "k", "line").first().fingerprint == hashlib.sha256("\0".join(["1=" + "x" * 10, "2=" + "y" * 10, "3=z"]).encode()).hexdigest()[:12]
+    with pytest.raises(Exception, match="too many"):
+        K.content_fingerprint(lines, "g", "k", "line", most=2).collect()
+    assert [r.problem for r in K.checked_facts(spark.createDataFrame([(" ", "v", 0.5), ("k", None, 0.5), ("k", "v", 2.0), ("k", "v", None)], "key string, value string, confidence double")).collect()] == ["empty_key", "empty_value", "confidence", None]
+    assert K.stable_json(lines, "g", "k", "line").first().json == '{"1":"xxxxxxxxxx","2":"yyyyyyyyyy","3":"z"}'
     assert K.fingerprint(facts).first()[0] == "4:4"
     assert {r.namespace: r.n_facts for r in K.namespaces(facts).collect()} == {"alpha": 2, "alphaX": 1, "beta": 1}
 
@@ -159,15 +194,49 @@ def test_profile(spark):
     assert P.language_rollup(P.line_counts(files)).filter("language IS NULL").first().files == 3
 
 
-def test_salted_join(spark, monkeypatch):
-    import corpusloom.runtime as R
+def test_salted_join(spark):
+    left = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").union(spark.range(5000).select(F.lit(100).cast("long"), "id")).union(spark.createDataFrame([(None, 1)], "k long, id long"))
+    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).union(spark.createDataFrame([(100, 1), (None, 2)], "k long, v long"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = salted_join(left, right, "k", how, least=100).groupBy("k").count().collect()
+        want = left.join(right, "k", how).groupBy("k").count().collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
 
-    left = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").union(spark.range(5000).select(F.lit(100).cast("long"), "id"))
-    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).union(spark.createDataFrame([(100, 1)], "k long, v long"))
-    monkeypatch.setattr(R, "SMALL", 0)
-    got = salted_join(left, right, "k").groupBy("k").count().collect()
-    want = left.join(right, "k").groupBy("k").count().collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+def test_numbered(spark):
+    rows = [("a", i * 3) for i in range(500)] + [("b", 7), (None, 1), (None, 2)]
+    got = {(r.k, r.n): r.place for r in R.numbered(spark.createDataFrame(rows, "k string, n long"), "k", "n", 8).collect()}
+    assert got == {**{("a", i * 3): i + 1 for i in range(500)}, ("b", 7): 1, (None, 1): 1, (None, 2): 2}
+    assert R.numbered(spark.createDataFrame([], "k string, n long"), "k", "n").count() == 0
+
+
+def test_first_by_id(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 3, "z"), (None, 4, None)], "id string, rec_id int, extra string")
+    assert sorted(map(str, L.first_by_id(rows, "id", ["rec_id"]).select("rec_id").collect())) == ["Row(rec_id=1)", "Row(rec_id=3)", "Row(rec_id=4)"]
+
+
+def test_written_and_tables(spark):
+    rows = spark.createDataFrame([(1, "春" * 400, 200), (2, "春", 200), (3, "- [x] a", 200), (4, None, 200)], "id int, text string, t int")
+    assert [r.state for r in S.written_chapters(rows, "id", "t").orderBy("id").collect()] == ["written", "template", "written", "missing"]
+    counts = S.segment_counts(spark.createDataFrame([(1, LONG + "\n\n短"), (2, None)], "id int, text string"), "id")
+    assert sorted(map(tuple, counts.collect())) == [(1, 1, 1), (2, 0, 0)]
+    lines = S.text_lines(spark.createDataFrame([(1, "| a | b.md |\n|---|:-:|\n| c")], "id int, text string"), "id")
+    assert [r.cells for r in C.table_rows(lines, "id").orderBy("line_no").collect()] == [["a", "b.md"], ["c"]]
+
+
+def test_located_spans(spark):
+    raw = "第一行，甲乙丙丁\n戊己庚辛 壬癸"
+    pairs = spark.createDataFrame([("s", "c", "第一行甲乙丙丁戊己庚辛壬癸", "零甲乙丙丁戊己庚辛零", raw, 5), ("n", "c", None, "x", None, 1)], "segment_id string, corpus_id string, a string, b string, raw string, line_start int")
+    row = O.match_spans(pairs).first()
+    assert (row.length, row.a_start, row.b_start, raw[row.raw_start : row.raw_end], row.line) == (8, 3, 1, "甲乙丙丁\n戊己庚辛", 5)
+
+
+def test_rates(spark):
+    text = "正文段落：10 段\n有命中段落：3 段（高风险 1 段）\n全文加权重复率**估算｜**：12.5%"
+    rows = O.report_baseline(spark.createDataFrame([(text,), ("无",), (None,)], "text string")).collect()
+    assert [(r.paragraph_count, r.high, r.medium, r.weighted_rate) for r in rows] == [(10, 1, 0, 0.125)]
+    rates = spark.createDataFrame([(12.5,), (0.3,), (-1.0,), (250.0,), (None,)], "x double").select(O.detected_rate(F.col("x"))).collect()
+    assert [r[0] for r in rates[:4]] == [0.125, 0.3, 0.0, 1.0]
 
 
 def test_clip(spark):

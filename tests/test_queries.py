@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, readers  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

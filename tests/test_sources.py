@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources import files as S
+from corpusloom.sources import pdf as R
 from corpusloom.streaming import cards
 
 
@@ -39,7 +40,11 @@ def test_readers():
     assert list(S.read_xlsx(XLSX)) == [("表", 1, 0, "text", "名"), ("表", 1, 2, "number", "2.5"), ("表", 2, 1, "date", "45000"), ("表", 2, 2, "bool", "TRUE"), ("表", 2, 3, "text", "行内")]
     assert S.sheet_text(list(S.read_xlsx(XLSX))) == "## 表\n名\t\t2.5\t\n\t45000\tTRUE\t行内"
     assert [n for n, _ in S.read_pptx(PPTX)] == [1, 2, 10]
-    assert S.read_pdf(PDF) == "Hello\nWorld"
+    assert S.read_pdf(PDF) == ("Hello\nWorld", False)
+    assert R.code_map(b"1 beginbfrange <01> <03> [<0041> <0042> <0043>] endbfrange") == (1, {1: "A", 2: "B", 3: "C"})
+    assert R.decode_stream(b"/Filter [/AHx]", b"48 65>") == b"He" and R.decode_stream(b"/Filter /A85", b"87cURDZ~>") == b"Hello" and R.decode_stream(b"/Filter /LZWDecode", b"") is None
+    with pytest.raises(ValueError, match="scanned"):
+        S.read_pdf(b"%PDF-1.4\n1 0 obj <</Subtype /Image>> endobj")
     with pytest.raises(ValueError, match="no PDF"):
         S.read_pdf(b"x")
     assert S.decode_bytes("中文".encode("gbk")) == "中文" and S.decode_bytes("﻿a\r\nb".encode()) == "a\nb" and S.decode_bytes("é".encode("utf-16")) == "é"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.segments import line_kind
 from corpusloom.streaming import cards
 
 
@@ -38,11 +39,12 @@ def test_shingles(spark):
 def test_fnv(spark):
     def fnv(text):
         h = 2166136261
-        for c in text:
-            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        raw = text.encode("utf-16-be")
+        for c in (int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)):
+            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
         return h
 
-    for text in ("abcd", "研究背景", "a"):
+    for text in ("abcd", "研究背景", "a", "a😀b", ""):
         assert one(spark, text, T.fnv1a) == fnv(text)
 
 
@@ -51,16 +53,20 @@ def test_fnv(spark):
     [("# 标题", "heading"), ("```python", "fence"), ("    code", "indented"), ("$$x^2$$", "formula"), ("E = mc", "text"), ("x=(a+b)-(c*d)", "formula"), ("![图](a.png)", "structural"), ("---", "structural"), ("| a | b |", "table"), ("> 引用", "quote"), ("- 项", "list"), ("3) 项", "list"), ("## 参考文献", "heading"), ("参考文献", "reference_heading"), ("[1] 张三", "reference_entry"), ("（待补）", "placeholder"), ("", "blank"), ("正文。", "text")],
 )
 def test_line_kind(spark, line, kind):
-    assert one(spark, line, T.line_kind) == kind
+    assert one(spark, line, T.line_kind) == kind and line_kind(line) == kind
 
 
 def test_html(spark):
     page = "<html><head><style>p{}</style></head><body><!-- x --><h1>题</h1><p>a&nbsp;b &amp; c</p><script>if('</p>')</script><table><tr><td>1</td><td>2</td></tr></table><br/>z</body></html>"
     assert one(spark, page, T.html_to_text) == "题\na\u00a0b & c\n1\t2\n\nz"
+    assert one(spark, "&#8212;&#x4e2d;&amp;lt;&#xD800;&nope;", T.html_to_text) == "—中&lt;&#xD800;&nope;"
+    assert one(spark, "&amp;lt;b&amp;gt;x&#20013;", T.strip_tags) == "x中"
 
 
 def test_cited_numbers(spark):
     assert one(spark, "见[1]、[3-5]和[7,9]，[5-4]", T.cited_numbers) == [1, 3, 4, 5, 7, 9]
+    assert one(spark, "[3-2] [1-1000]", T.cited_numbers) == list(range(1, 1001))
+    assert one(spark, None, T.cited_numbers) is None
     assert one(spark, "无", T.cited_numbers) == []
 
 
