@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,11 +104,19 @@ def discard(*frames: DataFrame) -> None:
 
 
 @contextmanager
-def intermediates() -> Iterator[None]:
-    """Everything written to the shared folder within the block is removed at its end: use the results inside."""
+def intermediates() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Everything written to the shared folder within the block is removed at its end: use the results inside.
+
+    The block gets a function that keeps a materialised DataFrame for longer.
+    """
     before = set(_written)
+
+    def keep(df: DataFrame) -> DataFrame:
+        before.add(getattr(df, "_corpusloom_path", ""))
+        return df
+
     try:
-        yield
+        yield keep
     finally:
         for path in [p for p in _written if p not in before]:
             remove(_written.pop(path), path)
