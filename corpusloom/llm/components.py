@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize, salted_join
+from corpusloom.runtime import discard, materialize, salted_join
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         jumped = salted_join(hooked, hooked.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left")
         labels = materialize(jumped.select("node", F.least(F.col("root"), F.coalesce("far", "root")).alias("root"), "was"), "labels")
         if not labels.filter("root <> was").take(1):
-            break
+            return labels.select("node", "root")
+        discard(hooked)
         labels = labels.select("node", "root")
-    return labels.select("node", "root")
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")

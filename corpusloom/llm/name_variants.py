@@ -13,38 +13,85 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.runtime import materialize, salted_join
+from corpusloom.runtime import discard, intermediates, materialize, salted_join
 
-# Common short forms of given names, and the full name each stands for.
+# Everyday English short forms of given names, by the full name; a parameter of ``link_variants`` replaces them.
 NICKNAMES = {
-    "alexander": "alex sasha sandy xander alec", "alexandra": "lexi", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny benji",
-    "bogdana": "dana", "catherine": "cathy", "charles": "charlie chuck", "christina": "tina chrissy", "christopher": "chris kit topher", "cosmina": "mina",
-    "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dottie", "edward": "ed eddie ned", "eleanor": "ellie nell nora",
-    "elizabeth": "liz beth betty lizzie eliza libby betsy", "frederick": "fred freddie freddy", "gabriela": "gabi gaby", "george": "georgie", "gregory": "greg", "henry": "harry hank",
-    "isabella": "bella izzy isa belle", "james": "jim jimmy jamie", "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon jonny nathan", "joseph": "joe joey",
-    "josephine": "josie jo fina", "katherine": "kate katie kathy kat kitty kathie", "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len leo lenny", "margaret": "peggy maggie meg marge greta peg margie",
-    "matthew": "matt matty", "michael": "mike mick mickey micky", "nicholas": "nick nicky", "noemia": "noe", "patricia": "trish pat patty tricia patsy", "penelope": "penny nell",
-    "peter": "pete", "raymond": "ray", "rebecca": "becky", "richard": "dick rick rich richie ricky", "robert": "bob rob bobby robbie bert", "ronald": "ron",
-    "samantha": "sam sammy", "stephen": "steve", "susannah": "sue susie suzy susan", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy",
-    "victoria": "vicky tori vic vicki", "william": "bill will billy willy liam", "zachary": "zach zack zak",
-}
-# Words that make a name an organisation's, by their beginnings.
-ORGANISATION = ("lab", "cent", "ctr", "soc", "dep", "uni", "inst", "assoc", "group", "council", "agenc", "committee", "consort", "facult", "school", "compan", "corp", "bureau", "office", "ministr")
+    "alexander": ["alex", "sasha", "sandy", "xander", "alec"],
+    "alexandra": ["lexi"],
+    "andrew": ["andy", "drew"],
+    "anthony": ["tony"],
+    "barbara": ["barb", "babs"],
+    "benjamin": ["ben", "benny", "benji"],
+    "catherine": ["cathy"],
+    "charles": ["charlie", "chuck"],
+    "christina": ["tina", "chrissy"],
+    "christopher": ["chris", "kit", "topher"],
+    "daniel": ["dan", "danny"],
+    "david": ["dave"],
+    "deborah": ["deb", "debbie"],
+    "dorothy": ["dot", "dottie"],
+    "edward": ["ed", "eddie", "ned"],
+    "eleanor": ["ellie", "nell", "nora"],
+    "elizabeth": ["liz", "beth", "betty", "lizzie", "eliza", "libby", "betsy"],
+    "frederick": ["fred", "freddie", "freddy"],
+    "gabriela": ["gabi", "gaby"],
+    "george": ["georgie"],
+    "gregory": ["greg"],
+    "henry": ["harry", "hank"],
+    "isabella": ["bella", "izzy", "isa", "belle"],
+    "james": ["jim", "jimmy", "jamie"],
+    "jennifer": ["jen", "jenny"],
+    "john": ["jack", "johnny"],
+    "jonathan": ["jon", "jonny", "nathan"],
+    "joseph": ["joe", "joey"],
+    "josephine": ["josie", "jo", "fina"],
+    "katherine": ["kate", "katie", "kathy", "kat", "kitty", "kathie"],
+    "kenneth": ["ken", "kenny"],
+    "lawrence": ["larry"],
+    "leonard": ["len", "leo", "lenny"],
+    "margaret": ["peggy", "maggie", "meg", "marge", "greta", "peg", "margie"],
+    "matthew": ["matt", "matty"],
+    "michael": ["mike", "mick", "mickey", "micky"],
+    "nicholas": ["nick", "nicky"],
+    "patricia": ["trish", "pat", "patty", "tricia", "patsy"],
+    "penelope": ["penny", "nell"],
+    "peter": ["pete"],
+    "raymond": ["ray"],
+    "rebecca": ["becky"],
+    "richard": ["dick", "rick", "rich", "richie", "ricky"],
+    "robert": ["bob", "rob", "bobby", "robbie", "bert"],
+    "ronald": ["ron"],
+    "samantha": ["sam", "sammy"],
+    "stephen": ["steve"],
+    "susannah": ["sue", "susie", "suzy", "susan"],
+    "theodore": ["ted", "theo", "teddy"],
+    "thomas": ["tom", "tommy"],
+    "timothy": ["tim", "timmy"],
+    "victoria": ["vicky", "tori", "vic", "vicki"],
+    "william": ["bill", "will", "billy", "willy", "liam"],
+    "zachary": ["zach", "zack", "zak"],
+}
+# Words, as a whole, that say that a name is an organisation's.
+ORGANISATION = {"laboratory", "laboratories", "lab", "labs", "centre", "center", "centres", "centers", "ctr", "society", "societies", "soc", "department", "departments", "dept", "university", "universities", "univ", "institute", "institution", "institutes", "inst", "association", "assoc", "group", "groups", "wg", "council", "agency", "committee", "consortium", "faculty", "school", "academy", "college", "company", "corporation", "corp", "bureau", "office", "ministry", "foundation", "network", "team", "project", "collaboration"}
 SMALL = {"the", "of", "for", "and", "in", "on", "de", "la", "a", "an", "&"}
 
-_nick = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
+_nick = {short: full for full, shorts in NICKNAMES.items() for short in shorts}
 _token = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*\.?(?:-(?=[^\W\d_]))?")
 FIELDS = "name string, n long, family string, given string, partial boolean, middle string, sure boolean, wide_family string, wide_given string"
 
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold()) if not unicodedata.combining(c))
 
 
@@ -62,7 +109,7 @@ def _join(piece: str) -> str:
     return re.sub(r"[^\w]|_", "", fold(piece))
 
 
-def _given(pieces: list[str]) -> tuple[str, bool, str]:
+def _given(pieces: list[str], nick: dict[str, str] = _nick) -> tuple[str, bool, str]:
     """Given name, whether it is only its beginning, and the initials after it."""
     if not pieces:
         return "", True, ""
@@ -73,14 +120,15 @@ def _given(pieces: list[str]) -> tuple[str, bool, str]:
             return fold(letters[0][0]), True, fold(letters[0][1:]) + "".join(_join(x)[:1] for x in rest)
         return fold(letters[0][0]), True, "".join(_join(x)[:1] for x in rest)
     given = _join(head)
-    return _nick.get(given, given), head.endswith("."), "".join(_join(x)[:1] for x in rest)
+    return nick.get(given, given), head.endswith("."), "".join(_join(x)[:1] for x in rest)
 
 
 def _organisation(name: str) -> tuple[str, str, bool, str] | None:
+    """Own name and initials of an organisation: a name of three words or more with a word that says so, or with of or for."""
     own, _, front = name.rpartition(",")
     words = _pieces(name)
-    plain = [_join(w) for w in words]
-    if not any(p.startswith(ORGANISATION) for p in plain) and not any(p in ("of", "for") for p in plain):
+    plain = {_join(w) for w in words}
+    if len(words) < 3 or not (plain & ORGANISATION or plain & {"of", "for"}):
         return None
     if own and len(_pieces(front)) == 1:
         head, rest = _join(front), [w for w in _pieces(own) if _join(w) not in SMALL]
@@ -92,7 +140,7 @@ def _organisation(name: str) -> tuple[str, str, bool, str] | None:
     return head, letters[:1], True, letters[1:]
 
 
-def read_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_names(frames: Iterator[pd.DataFrame], nick: dict[str, str] = _nick) -> Iterator[pd.DataFrame]:
     """Spelling to family, given, partial, middle; not ``sure`` where the order of two plain words must be decided."""
     for pdf in frames:
         out = []
@@ -103,15 +151,15 @@ def read_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             left, comma, right = text.partition(",")
             if comma:
-                out.append((name, n, _join("".join(_pieces(left))), *_given(_pieces(right)), True, None, None))
+                out.append((name, n, _join("".join(_pieces(left))), *_given(_pieces(right), nick), True, None, None))
                 continue
             parts = _pieces(re.sub(r"(?<=[a-z])(?=[A-Z][a-z]+\s)", "-", text))
             if len(parts) < 2:
                 out.append((name, n, _join("".join(parts)), "", True, "", True, None, None))
             elif not _is_initials(parts[0]) and all(_is_initials(p) for p in parts[1:]) and not parts[0].endswith("."):
-                out.append((name, n, _join(parts[0]), *_given(parts[1:]), True, None, None))
+                out.append((name, n, _join(parts[0]), *_given(parts[1:], nick), True, None, None))
             else:
-                given, partial, middle = _given(parts[:-1])
+                given, partial, middle = _given(parts[:-1], nick)
                 # a blank can stand for the hyphen of a double family or given name
                 wide = len(parts) > 2 and len(_join(parts[-2])) > 2
                 both = _join(parts[0] + parts[1]) if len(parts) > 2 and len(_join(parts[1])) > 2 and not partial else None
@@ -119,18 +167,19 @@ def read_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FIELDS.split(", ")])
 
 
-def profiles(names: DataFrame) -> DataFrame:
+def profiles(names: DataFrame, nicknames: dict[str, list[str]] = NICKNAMES) -> DataFrame:
     """``(name, n, family, given, partial, middle)`` for distinct spellings ``(name, n)``.
 
     Two plain words can stand in either order: the word that is more often a given name elsewhere is taken for it.
     """
-    read = materialize(names.mapInPandas(read_names, FIELDS), "read")
+    nick_of = {short: full for full, shorts in nicknames.items() for short in shorts}
+    read = materialize(names.mapInPandas(partial(read_names, nick=nick_of), FIELDS), "read")
     full = read.filter("NOT partial AND given <> ''")
     seen = full.select(F.col("given").alias("word"), F.lit(1).alias("as_given"), F.lit(0).alias("as_family")).union(full.select("family", F.lit(0), F.lit(1)))
     usage = seen.groupBy("word").agg(F.sum("as_given").alias("as_given"), F.sum("as_family").alias("as_family")).filter("as_given > as_family")
     common = usage.select("word", F.col("as_given").alias("used"))
-    nick = F.create_map(*(F.lit(x) for pair in _nick.items() for x in pair))
-    turned = read.filter("NOT sure").withColumn("family_as_given", F.coalesce(F.element_at(nick, F.col("family")), F.col("family")))
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in nick_of.items() for x in pair)), F.col("family")) if nick_of else F.lit(None)
+    turned = read.filter("NOT sure").withColumn("family_as_given", F.coalesce(known, F.col("family")))
     turned = turned.join(common.select(F.col("word").alias("family_as_given"), F.col("used").alias("back")), "family_as_given")
     turned = turned.join(common.select(F.col("word").alias("given"), F.col("used").alias("front")), "given", "left").filter("front IS NULL OR back > 20 * front")
     swap = turned.select("name", F.col("given").alias("new_family"), F.col("family_as_given").alias("new_given"))
@@ -228,21 +277,26 @@ def _hub_edges(nodes: DataFrame) -> DataFrame:
 
 
 def _short_keys(whole: bool):
-    """Keys under which a full name can be meant by a short one; a full name answers to all of its beginnings."""
+    """Keys under which a full name can be meant by a short one.
+
+    A full name answers to all of its beginnings, and to its ends of three letters or more; initials to all of theirs.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                if not r.given:
-                    continue
-                sizes = range(1, min(7, len(r.given)) + 1) if whole else [min(7, len(r.given))]
-                middles = dict.fromkeys(["", *(r.middle[:i] for i in range(1, len(r.middle) + 1))]) if whole else [r.middle]
-                for size in sizes:
+                if whole:
+                    pieces = [r.given[:n] for n in range(1, len(r.given) + 1)] + [">" + r.given[n:] for n in range(1, len(r.given) - 2)]
+                    middles = dict.fromkeys(["", *(r.middle[:i] for i in range(1, len(r.middle) + 1))])
+                else:
+                    pieces = [r.given] if r.partial or len(r.given) < 3 else [r.given, ">" + r.given]
+                    middles = [r.middle]
+                for piece in pieces:
                     for middle in middles:
-                        out.append((r.node, r.cluster, "exact", f"{r.family}|{r.given[:size]}|{middle}"))
-                        if size == 1 or not whole:
-                            out += [(r.node, r.cluster, "near", f"{form}|{r.given[:size]}|{middle}") for form in one_left_out(r.family)]
+                        out.append((r.node, r.cluster, "exact", f"{r.family}|{piece}|{middle}"))
+                        if len(piece) == 1 or (not whole and r.partial):
+                            out += [(r.node, r.cluster, "near", f"{form}|{piece}|{middle}") for form in one_left_out(r.family)]
             yield pd.DataFrame(out, columns=["node", "cluster", "kind", "key"])
 
     return run
@@ -251,15 +305,17 @@ def _short_keys(whole: bool):
 def _short_edges(nodes: DataFrame) -> DataFrame:
     """Edges from each short name to the one cluster of full names it can stand for; none where there are several.
 
-    The family name as typed goes first; one letter off counts only for names that nobody bears as typed.
+    The family name as typed goes first; one letter off counts only for names that nobody bears as typed. A complete
+    given name can be the short form of another one, as its beginning or its end.
     """
     schema = "node long, cluster long, kind string, key string"
-    full = nodes.filter("NOT partial AND given <> ''").mapInPandas(_short_keys(True), schema)
-    short = materialize(nodes.filter("partial OR length(given) <= 6").filter("given <> ''").mapInPandas(_short_keys(False), schema), "short")
+    full = materialize(nodes.filter("NOT partial AND given <> ''").mapInPandas(_short_keys(True), schema), "full")
+    short = materialize(nodes.filter("given <> ''").mapInPandas(_short_keys(False), schema), "short")
     answer = full.groupBy("kind", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"))
     answer = answer.select(F.concat_ws(":", "kind", "key").alias("block"), "low", "high")
     met = salted_join(short.withColumn("block", F.concat_ws(":", "kind", "key")), answer, "block")
-    by = met.groupBy("node", "cluster", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    own = (F.col("low") == F.col("high")) & (F.col("low") == F.col("cluster"))
+    by = met.filter(~own).groupBy("node", "cluster", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     exact = by.filter("kind = 'exact'").select("node", "cluster", F.col("low").alias("e_low"), F.col("high").alias("e_high"))
     near = by.filter("kind = 'near'").select("node", "cluster", "low", "high")
     both = near.join(exact, ["node", "cluster"], "full").select("node", "cluster", F.coalesce("e_low", "low").alias("low"), F.coalesce("e_high", "high").alias("high"))
@@ -268,10 +324,10 @@ def _short_edges(nodes: DataFrame) -> DataFrame:
 
 def _unite(nodes: DataFrame) -> DataFrame:
     """Profiles take the longest initials of their cluster where all of the cluster's agree."""
-    middles = nodes.groupBy("cluster").agg(F.max_by("middle", F.struct(F.length("middle"), "middle")).alias("longest"), F.collect_set("middle").alias("all_middles"))
-    agreed = middles.filter(F.forall("all_middles", lambda m: F.col("longest").startswith(m))).select("cluster", "longest")
-    joined = salted_join(nodes, agreed, "cluster", "left")
-    return joined.withColumn("middle", F.coalesce("longest", "middle")).drop("longest")
+    longest = nodes.groupBy("cluster").agg(F.max_by("middle", F.struct(F.length("middle"), "middle")).alias("longest"))
+    facing = materialize(salted_join(nodes, longest, "cluster"), "longest")
+    agreed = facing.groupBy("cluster").agg(F.bool_and(F.startswith("longest", "middle")).alias("agreed"))
+    return salted_join(facing, agreed, "cluster").withColumn("middle", F.when(F.col("agreed"), F.col("longest")).otherwise(F.col("middle"))).drop("longest", "agreed")
 
 
 def _namesakes_apart(nodes: DataFrame) -> DataFrame:
@@ -282,14 +338,15 @@ def _namesakes_apart(nodes: DataFrame) -> DataFrame:
     return salted_join(same, bearers, "both").filter("cluster <> hub").select(F.col("cluster").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def link_variants(names: DataFrame, most_rounds: int = 6) -> DataFrame:
+def link_variants(names: DataFrame, nicknames: dict[str, list[str]] = NICKNAMES, most_rounds: int = 100) -> DataFrame:
     """``(name, author)``: spellings ``names (name)`` with the id of the author they mean, one row per distinct spelling.
 
     Null names are left out, empty ones and names without a letter stand alone; repeated rows add weight. Namesakes
-    with different initials stay apart, and a short form that fits several authors is linked to none of them.
+    with different initials stay apart, and a short form that fits several authors is linked to none of them. Rounds go
+    on until none merges; more than ``most_rounds`` of them are an error.
     """
     distinct = names.filter("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    read = materialize(profiles(distinct), "profiles")
+    read = materialize(profiles(distinct, nicknames), "profiles")
     node = F.when((F.col("family") == "") | F.col("family").isNull(), F.xxhash64(F.lit("alone"), "name")).otherwise(F.xxhash64("family", "given", "partial", "middle"))
     read = materialize(read.withColumn("node", node), "nodes")
     nodes = read.filter("family <> ''").groupBy("node", "family", "given", "partial", "middle").agg(F.sum("n").alias("n")).withColumn("cluster", F.col("node"))
@@ -297,23 +354,30 @@ def link_variants(names: DataFrame, most_rounds: int = 6) -> DataFrame:
     steps = [_namesakes_apart, _hub_edges, _short_edges]
     quiet = 0
     for turn in range(most_rounds * len(steps)):
-        edges = materialize(steps[turn % len(steps)](nodes), "links")
-        if edges.isEmpty():
-            quiet += 1
+        with intermediates() as kept:
+            edges = materialize(steps[turn % len(steps)](nodes), "links")
+            quiet = quiet + 1 if edges.isEmpty() else 0
             if quiet == len(steps):
                 break
-            continue
-        quiet = 0
-        roots = components(edges).select(F.col("node").alias("cluster"), "root")
-        merged = salted_join(nodes, roots, "cluster", "left").withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
-        nodes = materialize(_unite(materialize(merged.select("node", "cluster", "n", "family", "given", "partial", "middle"), "merged")), "nodes")
+            if quiet:
+                continue
+            roots = components(edges).select(F.col("node").alias("cluster"), "root")
+            merged = salted_join(nodes, roots, "cluster", "left").withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
+            merged = materialize(merged.select("node", "cluster", "n", "family", "given", "partial", "middle"), "merged")
+            before, nodes = nodes, kept(materialize(_unite(merged), "nodes"))
+        discard(before)
+    else:
+        raise RuntimeError(f"names still merge after {most_rounds} rounds")
     return read.join(nodes.select("node", "cluster"), "node", "left").select("name", F.coalesce("cluster", "node").alias("author"))
 
 
-def variant_pairs(linked: DataFrame) -> DataFrame:
-    """``(name_a, name_b)``: different spellings of one author, the smaller by code point first."""
-    parts = 16
-    a = linked.select(F.col("name").alias("name_a"), "author").withColumn("part", F.pmod(F.xxhash64("name_a"), F.lit(parts)).cast("int"))
-    several = linked.groupBy("author").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("author")
-    b = linked.join(several, "author", "left_semi").select(F.col("name").alias("name_b"), "author").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+def variant_pairs(linked: DataFrame, cell: int = 500) -> DataFrame:
+    """``(name_a, name_b)``: different spellings of one author, the smaller by code point first.
+
+    The spellings of an author are cut into parts of about ``cell``, so that no task pairs off a large group alone.
+    """
+    sizes = linked.groupBy("author").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("author", F.ceil(F.col("n") / cell).alias("parts"))
+    members = materialize(salted_join(linked, sizes, "author"), "members")
+    a = members.select(F.col("name").alias("name_a"), "author", F.pmod(F.xxhash64("name"), "parts").alias("part"))
+    b = members.select(F.col("name").alias("name_b"), "author", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return a.join(b, ["author", "part"]).filter("name_a < name_b").select("name_a", "name_b")
