@@ -13,7 +13,7 @@ from corpusloom.runtime import materialize, spread, table
 
 
 def _records(spark: SparkSession, d: str) -> list[DataFrame]:
-    return shared_spans.record_batches(spark, table(spark, d, "fingerprinted_texts"), table(spark, d, "risk_items"))
+    return shared_spans.record_batches(table(spark, d, "fingerprinted_texts"), table(spark, d, "risk_items"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_shared_amount(spark: SparkSession, d: str) -> DataFrame:
     batches = _records(spark, d)
-    every = batches[0].unionByName(batches[1]).unionByName(batches[2]).unionByName(batches[3])
+    every = batches[0].unionByName(batches[1])
     return shared_spans.shared_amount(shared_spans.shared_spans(batches), every)
 
 
