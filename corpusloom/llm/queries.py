@@ -60,6 +60,10 @@ def p4_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     return _looks(spark, d).select("text_id", "normal_form", "visual_key")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.class_links(lookalike.lookalike_classes(_looks(spark, d)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_looks(spark, d))
 
@@ -125,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p4_normal_forms": p4_normal_forms,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_matches": p5_matches,
     "p6_found": p6_found,
@@ -161,25 +166,23 @@ SELECT group_id, field_name, min(rec_id) AS rec_id FROM b WHERE score = best GRO
 }
 
 
+# Characters that look alike, written out for the comparing engine: its own table, not the operator's.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F)))
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_OTHER = "АВЕЅІЈКМНОРСТУХаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧοѐёїΐӓӗ"
+_LATIN = "ABESIJKMHOPCTYXaeopcyxsijABEZHIKMNOPTYXoèëïΐäĕ"
+_RADICALS = "".join(map(chr, range(0x2F00, 0x2FD6)))
+_GONE = "[\u00ad\u034f\u061c\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]"
+
+
 def _look_sql() -> str:
     """Pairs by a visual form made with the engine's own functions: characters mapped one by one, then composed."""
-    one, gone, several = {}, [], {}
-    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
-        char = chr(code)
-        if lookalike._hidden.match(char):
-            gone.append(char)
-        elif (seen := lookalike._visual[code]) != char:
-            (one if len(seen) == 1 else several)[char] = seen
-    # letters that are composed from a look-alike and an accent: decomposed first, as the operator does
-    for code in range(0x400, 0x530):
-        if len(parts := unicodedata.normalize("NFD", chr(code))) > 1 and ord(parts[0]) in lookalike._letters:
-            whole = unicodedata.normalize("NFC", lookalike._letters[ord(parts[0])] + parts[1:])
-            if len(whole) == 1:
-                one[chr(code)] = whole
-    text = "nfc_normalize(translate(text, '{}', '{}'))".format("".join([*one, *gone]).replace("'", "''"), "".join(one.values()).replace("'", "''"))
-    for char in "ﬀﬁﬂﬃﬄﬅﬆ…":
-        text = f"replace({text}, '{char}', '{several[char]}')"
-    return f"WITH t AS (SELECT fp_id AS id, text FROM fingerprinted_texts UNION ALL SELECT docx_id, text FROM docx_contents), v AS (SELECT id, text, md5({text}) AS look FROM t) SELECT a.id AS text_id_a, b.id AS text_id_b FROM v a JOIN v b ON a.look = b.look AND a.id < b.id AND a.text <> b.text"
-
-
-SQL["p4_found"] = _look_sql()
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    text = f"nfc_normalize(translate(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '{_GONE}', '', 'g'), {quote(_WIDE + _BLANKS + _OTHER + _RADICALS)}, {quote(_NARROW + ' ' * len(_BLANKS) + _LATIN + unicodedata.normalize('NFKC', _RADICALS))}))"
+    for ligature, letters in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}.items():
+        text = f"replace({text}, '{ligature}', '{letters}')"
+    return f"WITH t AS (SELECT fp_id AS id, text FROM fingerprinted_texts UNION ALL SELECT docx_id, text FROM docx_contents), v AS (SELECT id, text, md5({text}) AS look FROM t)"
+
+
+SQL["p4_found"] = f"{_look_sql()} SELECT a.id AS text_id_a, b.id AS text_id_b FROM v a JOIN v b ON a.look = b.look AND a.id < b.id AND a.text <> b.text"
