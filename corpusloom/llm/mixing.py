@@ -1,17 +1,20 @@
 """Mixing sources to target weights.
 
-A naive Bayes classifier, trained on the documents whose typed source is one of the known names, gives every document
-a posterior over sources from its typed source, path, language and shape. Nonnegative rates per document are then
-fitted by projected gradient descent on the squared, scaled differences between expected and wanted tokens per source:
-each step is one aggregate over the table. Documents of equal posterior and limit have equal rates, so the table is
-first reduced to such classes by an aggregate; no document, rate or class list ever comes to the driver, only one
-total per source. Rates become whole numbers of copies by systematic sampling within small groups.
+A classifier, trained without the typed source among its features, gives every document a posterior over sources: naive
+Bayes over its folder, extension, language and shape, and over the tokens of its text, whose weight against the others is
+fitted on held-out labelled documents so that posteriors are calibrated. Where a source is typed it is a noisy
+observation of the membership: its error rate is the one that explains the held-out labels best. Nonnegative rates per
+document are then fitted by projected gradient descent on the squared, scaled differences between expected and wanted
+tokens per source: each step is one aggregate over the table. Documents of equal posterior and limit have equal rates, so
+the table is first reduced to such classes by an aggregate; no document, rate or class list ever comes to the driver,
+only one total per source. Rates become whole numbers of copies by systematic sampling within small groups.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -21,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize, spread
+from corpusloom.llm.batches import by_size
+from corpusloom.runtime import discard, materialize, spread
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 STEPS, TOLERANCE = 60, 1e-4
+MOST_LABELLED = 50_000  # labelled documents the classifier is fitted to at most, every fifth of them held out
+MOST_CELLS = 50_000_000  # sources times tokens of the vocabulary: about 200 MB
 GROUP = 2000  # documents per rounding group, about
 
 
@@ -46,84 +52,161 @@ def _encoding(path: str):
     return tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> DataFrame:
-    """``keep`` columns and ``n_tokens`` (BIGINT) of every row; null and empty texts have 0 tokens."""
-    path = tokenizer or default_tokenizer()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
-        for batch in batches:
-            sizes = pa.array([len(encode(t)) if t else 0 for t in batch.column("__text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), sizes], names=[*keep, "n_tokens"])
-
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return spread(source).mapInArrow(run, f"{kinds}, n_tokens bigint")
-
-
 def source_key(source: Column) -> Column:
     """A source name in lower case without outer blanks; null where nothing is left."""
     key = F.lower(F.regexp_replace(source, r"^[\s ]+|[\s ]+$", ""))
     return F.when(key != "", key)
 
 
+N_FEATURES = 4
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, typed, f0..f4, text``: the typed source and the evidence of the classifier, all as strings."""
+    """``doc_id, typed, f0..f3, text``: the typed source, and folder, extension, language and shape as strings."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = [
-        F.coalesce(source_key(F.col("source")), F.lit("?")),
-        F.coalesce(F.lower(F.nullif(F.substring_index("file_path", "/", 1), F.lit(""))), F.lit("?")),
-        F.coalesce(F.lower(F.regexp_extract("file_path", r"\.(\w{1,8})$", 1)), F.lit("?")),
-        F.coalesce(F.lower(F.col("lang")), F.lit("?")),
+        F.lower(F.regexp_extract("file_path", r"^([^/]+)/", 1)),
+        F.lower(F.regexp_extract("file_path", r"\.(\w{1,8})$", 1)),
+        F.lower("lang"),
         F.concat(F.floor(F.log2(F.char_length(text) + 1)).cast("string"), F.when(text.rlike(r"(?m)^#{1,6} "), "h").otherwise(""), F.when(text.rlike(r"(?m)^\|"), "t").otherwise("")),
     ]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("typed"), *(p.alias(f"f{n}") for n, p in enumerate(parts)), F.col("text").cast("string").alias("text"))
-
-
-N_FEATURES = 5
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("typed"), *(F.coalesce(F.nullif(p, F.lit("")), F.lit("?")).alias(f"f{n}") for n, p in enumerate(parts)), F.col("text").cast("string").alias("text"))
+
+
+class SourceModel:
+    """Log-likelihoods of features and tokens per source, the weight of the text, and the error rate of typed sources."""
+
+    def __init__(self, known: list[str], counts: dict[tuple[str, str, int], float], tokens: np.ndarray, prior: np.ndarray, smoothing: float = 0.5):
+        self.known = known
+        self.prior = np.log((prior + 1.0) / (prior.sum() + len(known)))
+        self.fields: list[dict[str, np.ndarray]] = [{} for _ in range(N_FEATURES)]
+        for (field, value, k), n in counts.items():
+            table = self.fields[int(field[1:])]
+            table.setdefault(value, np.zeros(len(known)))[k] += n
+        for table in self.fields:
+            for value in table:
+                table[value] = np.log((table[value] + smoothing) / (prior + smoothing * (len(table) + 1)))
+        self.tokens = np.log((tokens + smoothing) / (tokens.sum(axis=1, keepdims=True) + smoothing * tokens.shape[1])).astype(np.float32)
+        self.heat, self.error = math.inf, 0.0
+
+    def scores(self, fields: list[list[str]], encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Per document: log-odds by the features, and those by the tokens of its text."""
+        none = np.zeros(len(self.known))
+        by_field = np.array([sum((t.get(v, none) for t, v in zip(self.fields, values, strict=True)), self.prior) for values in zip(*fields, strict=True)]).reshape(-1, len(self.known))
+        by_text = np.array([self.tokens[:, np.asarray(t, dtype=np.int64)].sum(axis=1) for t in encoded], dtype=np.float64).reshape(-1, len(self.known))
+        return by_field, by_text
+
+    def posteriors(self, by_field: np.ndarray, by_text: np.ndarray, heat: float | None = None) -> np.ndarray:
+        score = by_field + (by_text - by_text.max(axis=1, keepdims=True)) / (heat or self.heat)
+        score = np.exp(score - score.max(axis=1, keepdims=True))
+        return score / score.sum(axis=1, keepdims=True)
+
+    def calibrate(self, by_field: np.ndarray, by_text: np.ndarray, label: np.ndarray) -> None:
+        """Heat and error rate under which the held-out labels are likeliest."""
+        if not len(label):
+            return
+        own = lambda heat: self.posteriors(by_field, by_text, heat)[np.arange(len(label)), label]
+        self.heat = max((math.inf, 1000.0, 300.0, 100.0, 30.0, 10.0, 3.0, 1.0), key=lambda h: np.log(own(h) + 1e-12).mean())
+        p, k = own(self.heat), max(2, len(self.known))
+        self.error = max((0.001, 0.003, 0.01, 0.03, 0.1, 0.3), key=lambda e: np.log(p * (1 - e) + (1 - p) * e / (k - 1) + 1e-12).mean())
+
+    def observed(self, p: np.ndarray, typed: list[str | None]) -> np.ndarray:
+        """Posteriors once the typed sources, where there are any, have been seen."""
+        place = {s: k for k, s in enumerate(self.known)}
+        at = np.array([place.get(t, -1) for t in typed], dtype=np.int64)
+        seen = np.flatnonzero(at >= 0)
+        q = p.copy()
+        q[seen] *= self.error / max(1, len(self.known) - 1)
+        q[seen, at[seen]] = p[seen, at[seen]] * (1 - self.error)
+        # a class the features rule out is still possible where it is typed
+        q += 1e-12
+        q[seen, at[seen]] += 1e-9
+        return q / q.sum(axis=1, keepdims=True)
+
+
+def _encode(texts: list, path: str) -> list[list[int]]:
+    return _encoding(path).encode_ordinary_batch([t or "" for t in texts], num_threads=1)
+
+
+def fit_sources(rows: DataFrame, known: list[str], tokenizer: str, most_labelled: int = MOST_LABELLED) -> SourceModel:
+    """Fit the classifier to at most ``most_labelled`` documents with a typed source, picked by a hash of the id.
+
+    Four fifths give the counts, the others calibrate it. The model's size is bounded by sources times vocabulary.
+    """
+    size = _encoding(tokenizer).n_vocab
+    if len(known) * size > MOST_CELLS:
+        raise ValueError("too many sources for one classifier")
+    place = {s: k for k, s in enumerate(known)}
+    sample = rows.filter(F.col("typed").isin(known)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    sample = materialize(sample.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0), "labelled")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in by_size(batches):
+            labels = [place[t] for t in batch.column("typed").to_pylist()]
+            for k, tokens in zip(labels, _encode(batch.column("text").to_pylist(), tokenizer), strict=True):
+                ids, n = np.unique(np.asarray(tokens, dtype=np.int64), return_counts=True)
+                for token, c in zip(ids.tolist(), n.tolist(), strict=True):
+                    total["t", str(token), k] += c
+                total["n", "", k] += 1
+            for f in range(N_FEATURES):
+                total.update((f"f{f}", v, k) for v, k in zip(batch.column(f"f{f}").to_pylist(), labels, strict=True))
+        field, value, k = zip(*total, strict=True) if total else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(field, pa.string()), pa.array(value, pa.string()), pa.array(k, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["field", "value", "k", "n"])
+
+    got = spread(sample.filter("NOT held")).mapInArrow(counts, "field string, value string, k int, n bigint").groupBy("field", "value", "k").agg(F.sum("n").alias("n")).toPandas()
+    tokens, prior, fields = np.zeros((len(known), size), dtype=np.float32), np.zeros(len(known)), {}
+    for field, value, k, n in got.itertuples(index=False):
+        if field == "t":
+            tokens[k, int(value)] = n
+        elif field == "n":
+            prior[k] = n
+        else:
+            fields[field, value, k] = n
+    model = SourceModel(known, fields, tokens, prior)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches):
+            a, b = sent.value.scores([batch.column(f"f{f}").to_pylist() for f in range(N_FEATURES)], _encode(batch.column("text").to_pylist(), tokenizer))
+            yield pa.RecordBatch.from_arrays([batch.column("typed"), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64()))], names=["typed", "a", "b"])
+
+    # a fifth of the sample at most
+    held = spread(sample.filter("held")).mapInArrow(scores, "typed string, a array<double>, b array<double>").toPandas()
+    label = np.array([place[t] for t in held.typed], dtype=np.int64)
+    a, b = (np.array(held[c].tolist(), dtype=np.float64).reshape(-1, len(known)) for c in "ab")
+    model.calibrate(a, b, label)
+    model.held_out = (len(label), float((model.posteriors(a, b).argmax(axis=1) == label).mean()) if len(label) else 0.0, float(np.bincount(label).max() / len(label)) if len(label) else 0.0)
+    discard(sample)
+    sent.unpersist()
+    return model
+
+
+def classify(rows: DataFrame, model: SourceModel | None, tokenizer: str) -> DataFrame:
+    """``doc_id, typed, n_tokens, p``: tokens of each text and its posterior over the known sources in hundredths. One pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches):
+            encoded, model = _encode(batch.column("text").to_pylist(), tokenizer), sent.value
+            if model is None:
+                p = [[] for _ in encoded]
+            else:
+                q = model.posteriors(*model.scores([batch.column(f"f{f}").to_pylist() for f in range(N_FEATURES)], encoded))
+                q = np.round(model.observed(q, batch.column("typed").to_pylist()), 2)
+                p = (q / q.sum(axis=1, keepdims=True)).tolist()
+            sizes = pa.array([len(t) for t in encoded], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("typed"), sizes, pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "typed", "n_tokens", "p"])
 
-def fit_sources(rows: DataFrame, known: list[str], smoothing: float = 0.1, most_values: int = 5000) -> tuple[list[float], list[dict[str, list[float]]]]:
-    """Log prior per source and, per feature, log-likelihoods per value: counts over all labelled rows.
+    return spread(rows).mapInArrow(run, "doc_id bigint, typed string, n_tokens bigint, p array<double>")
 
-    The ``most_values`` most frequent values of a feature are kept (a size limit of the model), rarer ones count as
-    unknown and say nothing.
-    """
-    if not known:
-        return [], []
-    labelled = rows.filter(F.col("typed").isin(known))
-    sums = [F.sum((F.col("typed") == s).cast("double")).alias(f"s{k}") for k, s in enumerate(known)]
-    total = labelled.agg(*sums).first()
-    prior = [math.log((total[k] or 0.0) + 1.0) for k in range(len(known))]
-    tables = []
-    for n in range(N_FEATURES):
-        values = labelled.groupBy(f"f{n}").agg(*sums, F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), f"f{n}").limit(most_values).collect()
-        tables.append({r[0]: [math.log(((r[k + 1] or 0.0) + smoothing) / ((total[k] or 0.0) + smoothing * (len(values) + 1))) for k in range(len(known))] for r in values})
-    return prior, tables
-
-
-def posteriors(rows: DataFrame, known: list[str], model: tuple[list[float], list[dict[str, list[float]]]]) -> DataFrame:
-    """``rows`` with ``p``, an array of posteriors in the order of ``known``, rounded to 6 places."""
-    prior, tables = model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [0.0] * len(known)
-        seen: dict[tuple, list[float]] = {}
-        for batch in batches:
-            out = []
-            for values in zip(*(batch.column(f"f{n}").to_pylist() for n in range(N_FEATURES)), strict=True):
-                if not known:
-                    p = []
-                elif (p := seen.get(values)) is None:
-                    score = np.array(prior) + sum(np.array(t.get(v, none)) for t, v in zip(tables, values, strict=True))
-                    score = np.exp(score - score.max())
-                    p = np.round(score / score.sum(), 6).tolist()
-                    if len(seen) < 100_000:
-                        seen[values] = p
-                out.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("typed"), batch.column("n_tokens"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "typed", "n_tokens", "p"])
-
-    return rows.mapInArrow(run, "doc_id bigint, typed string, n_tokens bigint, p array<double>")
+def classifier_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``(n_held_out, accuracy, most_frequent, text_weight, error_rate)`` of the classifier on held-out labelled documents."""
+    rows = features(docs)
+    known = sorted(r[0] for r in rows.filter("typed IS NOT NULL").select("typed").distinct().limit(1001).collect())
+    model = fit_sources(rows, known, tokenizer or default_tokenizer())
+    return docs.sparkSession.createDataFrame([(*model.held_out, 1 / model.heat, model.error)], "n_held_out bigint, accuracy double, most_frequent double, text_weight double, error_rate double")
 
 
 def _rate(history: list[list[float]], k: int) -> Column:
@@ -148,15 +231,15 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     """
     listed = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source IS NOT NULL AND target_share > 0")
     listed = listed.groupBy("source").agg(F.sum("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1.0))).alias("most")).limit(1001).collect()
-    rows = materialize(count_tokens(features(docs), ["doc_id", "typed", *(f"f{n}" for n in range(N_FEATURES))], tokenizer), "tokens")
-    typed = [r[0] for r in rows.filter("typed IS NOT NULL").groupBy("typed").count().orderBy(F.desc("count"), "typed").limit(1001).collect()]
+    tokenizer, rows = tokenizer or default_tokenizer(), features(docs)
+    typed = [r[0] for r in rows.filter("typed IS NOT NULL").select("typed").distinct().limit(1001).collect()]
     if max(len(listed), len(typed)) > 1000:
         raise ValueError("more than 1000 sources")
     known = sorted(typed)
     share = {r["source"]: r["share"] for r in listed}
     most = {r["source"]: float(math.floor(r["most"])) for r in listed}
     limits = F.array(*(F.lit(most.get(s, 0.0)) for s in known)) if known else F.array().cast("array<double>")
-    scored = posteriors(rows, known, fit_sources(rows, known))
+    scored = classify(rows, fit_sources(rows, known, tokenizer) if known else None, tokenizer)
     # a document belongs to its most likely source when copies are counted and limited
     place = F.array_position("p", F.array_max("p")).cast("int")
     names = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")

@@ -103,6 +103,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.classifier_report(table(spark, d, "documents"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return reading.reading_levels(docs, reading.fit_levels(docs, table(spark, d, "reading_labels")))
@@ -136,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_removal_spans": p6_removal_spans,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_classifier": p7_classifier,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,

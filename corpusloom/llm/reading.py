@@ -9,8 +9,8 @@ level, so disagreement between raters stays in the model.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,7 @@ from corpusloom.runtime import spread
 
 LEVELS = 5
 MOST_RATED = 50_000  # rated documents a model is trained on at most
-MOST_WORDS = 500_000  # words a model holds at most, the most frequent ones: about 24 MB
-SMOOTHING = 200.0  # words of the common model added to each level's
+SMOOTHING = 2000.0  # words of the common model added to each level's: a word met once decides nothing
 ASIDE = re.compile(r"^(?:```.*?(?:^```[^\n]*$|\Z)|~~~.*?(?:^~~~[^\n]*$|\Z)|[ \t]{0,3}#{1,6}[ \t][^\n]*$|[ \t]*\|[^\n]*$|[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t][^\n]*$|\[\d+\][^\n]*$)", re.S | re.M)
 
 
@@ -37,9 +36,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_kinds = np.zeros(0x110000, dtype=np.int8)  # 0 other, 1 letter, 2 ideograph
-_kinds[np.array([c for c in range(0x41, 0x3400) if chr(c).isalpha()])] = 1
-for _low, _high in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+_kinds = np.zeros(0x110000, dtype=np.int8)  # 0 other, 1 letter (or a mark that goes with one), 2 written without word spaces
+_kinds[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM"]] = 1
+# Scripts without word spaces: ideographs, kana, Thai, Lao, Myanmar, Khmer.
+for _low, _high in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF)):
     _kinds[_low : _high + 1] = 2
 
 
@@ -79,7 +79,7 @@ class LevelModel:
     def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, prior: np.ndarray, smoothing: float = SMOOTHING):
         by = np.argsort(vocabulary)
         self.vocabulary, counts = vocabulary[by], counts[by]
-        self.likelihood = np.zeros_like(counts)
+        self.likelihood = np.zeros(counts.shape, dtype=np.float32)
         for script in (0, 1):  # each script has its own models: which script a text is in says nothing of its level
             own = (self.vocabulary & np.uint64(1)) == script
             if own.any():
@@ -101,11 +101,10 @@ class LevelModel:
         return score / score.sum(axis=1, keepdims=True), np.bincount(doc, minlength=n)
 
 
-def fit_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED, most_words: int = MOST_WORDS) -> LevelModel:
-    """Train on the rated documents: at most ``most_rated``, picked by a hash of the id; at most ``most_words`` words.
+def fit_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> LevelModel:
+    """Train on the rated documents: at most ``most_rated``, picked by a hash of the id, with all of their words.
 
-    Null ratings and ratings outside 1 to 5 are left out; a document of several raters adds its words in shares. Words
-    met fewer than twice are left out. Without ratings the model is empty and every level equally likely.
+    Null ratings and ratings outside 1 to 5 are left out; a document of several raters adds its words in shares. Without ratings the model is empty and every level equally likely.
     """
     rated = ratings.filter(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
     levels = [F.avg((F.col("reading_level") == k + 1).cast("double")) for k in range(LEVELS)]
@@ -114,8 +113,7 @@ def fit_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(shares), "doc_id")
     names = [f"n{k + 1}" for k in range(LEVELS)]
     parts = texts.select("text", "shares").mapInArrow(_counts, "word bigint, " + ", ".join(f"{n} double" for n in names))
-    total = reduce(lambda a, b: a + b, map(F.col, names))
-    counts = parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).filter(total >= 2).orderBy(total.desc(), "word").limit(most_words).toPandas()
+    counts = parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # the words of ``most_rated`` documents
     prior = shares.agg(*(F.sum(F.col("shares")[k]).alias(names[k]) for k in range(LEVELS))).first()
     weight = np.array([prior[n] or 0.0 for n in names]) + 1.0
     return LevelModel(counts["word"].to_numpy(np.int64).view(np.uint64), counts[names].to_numpy(np.float64), weight / weight.sum())
@@ -150,8 +148,8 @@ def reading_levels(docs: DataFrame, model: LevelModel) -> DataFrame:
 
 
 def demanding_documents(levels: DataFrame) -> DataFrame:
-    """``(doc_id)`` of the documents at level 4 or 5: these levels together are more likely than the others."""
-    return levels.filter(F.col("demanding") > 0.5).select("doc_id").distinct()
+    """``(doc_id)`` of the documents that were assigned level 4 or 5."""
+    return levels.filter(F.col("reading_level") >= 4).select("doc_id").distinct()
 
 
 def level_profile(levels: DataFrame, docs: DataFrame) -> DataFrame:
