@@ -277,45 +277,38 @@ def _hub_edges(nodes: DataFrame) -> DataFrame:
 
 
 def _short_keys(whole: bool):
-    """Keys under which a full name can be meant by a short one.
-
-    A full name answers to all of its beginnings, and to its ends of three letters or more; initials to all of theirs.
-    """
+    """Keys under which a full name can be meant by a shortened one: a full name answers to all of its beginnings."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                if whole:
-                    pieces = [r.given[:n] for n in range(1, len(r.given) + 1)] + [">" + r.given[n:] for n in range(1, len(r.given) - 2)]
-                    middles = dict.fromkeys(["", *(r.middle[:i] for i in range(1, len(r.middle) + 1))])
-                else:
-                    pieces = [r.given] if r.partial or len(r.given) < 3 else [r.given, ">" + r.given]
-                    middles = [r.middle]
-                for piece in pieces:
+                sizes = range(1, len(r.given) + 1) if whole else [len(r.given)]
+                middles = dict.fromkeys(["", *(r.middle[:i] for i in range(1, len(r.middle) + 1))]) if whole else [r.middle]
+                for size in sizes:
                     for middle in middles:
-                        out.append((r.node, r.cluster, "exact", f"{r.family}|{piece}|{middle}"))
-                        if len(piece) == 1 or (not whole and r.partial):
-                            out += [(r.node, r.cluster, "near", f"{form}|{piece}|{middle}") for form in one_left_out(r.family)]
+                        out.append((r.node, r.cluster, "exact", f"{r.family}|{r.given[:size]}|{middle}"))
+                        # a typing error in the family name counts beside a single initial
+                        if size == 1:
+                            out += [(r.node, r.cluster, "near", f"{form}|{r.given[:size]}|{middle}") for form in one_left_out(r.family)]
             yield pd.DataFrame(out, columns=["node", "cluster", "kind", "key"])
 
     return run
 
 
 def _short_edges(nodes: DataFrame) -> DataFrame:
-    """Edges from each short name to the one cluster of full names it can stand for; none where there are several.
+    """Edges from each shortened name to the one cluster of full names it can stand for; none where there are several.
 
-    The family name as typed goes first; one letter off counts only for names that nobody bears as typed. A complete
-    given name can be the short form of another one, as its beginning or its end.
+    The family name as typed goes first; one letter off counts only for names that nobody bears as typed. Two complete
+    given names are not linked because one begins the other (Paul, Paula): that takes the table of short forms.
     """
     schema = "node long, cluster long, kind string, key string"
-    full = materialize(nodes.filter("NOT partial AND given <> ''").mapInPandas(_short_keys(True), schema), "full")
-    short = materialize(nodes.filter("given <> ''").mapInPandas(_short_keys(False), schema), "short")
+    full = nodes.filter("NOT partial AND given <> ''").mapInPandas(_short_keys(True), schema)
+    short = materialize(nodes.filter("partial AND given <> ''").mapInPandas(_short_keys(False), schema), "short")
     answer = full.groupBy("kind", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"))
     answer = answer.select(F.concat_ws(":", "kind", "key").alias("block"), "low", "high")
     met = salted_join(short.withColumn("block", F.concat_ws(":", "kind", "key")), answer, "block")
-    own = (F.col("low") == F.col("high")) & (F.col("low") == F.col("cluster"))
-    by = met.filter(~own).groupBy("node", "cluster", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    by = met.groupBy("node", "cluster", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     exact = by.filter("kind = 'exact'").select("node", "cluster", F.col("low").alias("e_low"), F.col("high").alias("e_high"))
     near = by.filter("kind = 'near'").select("node", "cluster", "low", "high")
     both = near.join(exact, ["node", "cluster"], "full").select("node", "cluster", F.coalesce("e_low", "low").alias("low"), F.coalesce("e_high", "high").alias("high"))

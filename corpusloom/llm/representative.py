@@ -146,7 +146,7 @@ def _distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, v = list(agreed), tokens(value)
             pairs = align(a, v)
             same = sum(a[i] == v[j] for i, j in pairs)
-            far.append(max(len(a), len(v)) - same if not pairs else len(a) + len(v) - len(pairs) - same)
+            far.append(len(a) + len(v) - len(pairs) - same)
             cut.append(bool(v) and bool(a) and (not pairs or pairs[-1][0] < len(a) - 1))
         yield pdf[["slot", "value"]].assign(distance=pd.array(far, dtype="int64"), is_cut=pd.array(cut, dtype="bool"))
 

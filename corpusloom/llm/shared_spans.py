@@ -178,8 +178,11 @@ class FingerprintLog:
         """Index ``(rec_id, text)``; returns the hits ``(rec_id, span_start, span_end)`` that this batch brings to any record.
 
         Null texts and those shorter than the span have none; repeated rows of one id count as one record; an empty batch
-        adds nothing.
+        adds nothing. The result is stored in the log and can be read until the log is compacted, which happens at the
+        beginning of an append when there are ``fan_in`` runs.
         """
+        if len(self.runs) >= self.fan_in:
+            self.compact()
         run = uuid.uuid4().hex
         texts = records.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.col("text").cast("string").alias("text")).filter(F.char_length("text") >= self.span)
         spread(texts).write.parquet(f"{self.path}/{run}/texts")
@@ -191,8 +194,6 @@ class FingerprintLog:
             found.write.parquet(f"{self.path}/{run}/hits")
         self.runs, self.hits = [*self.runs, run], [*self.hits, run]
         self._save()
-        if len(self.runs) > self.fan_in:
-            self.compact()
         return self.spark.read.schema("rec_id bigint, span_start bigint, span_end bigint").parquet(f"{self.path}/{run}/hits")
 
     def _found(self, run: str) -> DataFrame:

@@ -52,6 +52,26 @@ def test_shared_spans(spark):
     assert amount[90].shared_share == 0 and len(amount) == len(records)
 
 
+def test_log_goes_on_in_another_session(spark, tmp_path):
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(15, 60))) for _ in range(8)]
+    records = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))) for i in range(48)]
+    path, sessions = tmp_path.as_uri() + "/log", [spark, spark.newSession(), spark.newSession()]
+    for k in range(6):
+        session = sessions[k % 3]
+        log = shared_spans.FingerprintLog(session, path, 20, 10, fan_in=3, buckets=3)
+        before = set(map(tuple, log.spans().collect()))
+        new = log.append(session.createDataFrame(records[k::6], RECORD))
+        assert len(log.runs) <= 3
+        so_far = {tuple(r) for r in log.spans().collect()}
+        assert so_far == spans_by_hand([r for j in range(k + 1) for r in records[j::6]], 20)
+        assert k == 0 or {r.rec_id for r in new.collect()} >= {r for r, *_ in so_far - before}
+    assert {p.name for p in (tmp_path / "log").iterdir() if p.is_dir()} == set(log.runs)
+    # a batch that brings nothing changes nothing
+    log.append(spark.createDataFrame([(900, None), (901, "short")], RECORD))
+    assert {tuple(r) for r in log.spans().collect()} == so_far
+
+
 @given(st.text(alphabet="ab", min_size=0, max_size=60), st.integers(1, 20))
 @settings(max_examples=60, deadline=None)
 def test_window_hashes(text, width):
@@ -85,6 +105,9 @@ def test_lookalikes(spark):
     assert lookalike.lookalike_pairs(forms.limit(0)).count() == 0
 
 
+FORMS = lookalike.Forms()
+
+
 @given(st.text(max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_normal_form_is_stable(text):
@@ -92,9 +115,35 @@ def test_normal_form_is_stable(text):
         text.encode()
     except UnicodeEncodeError:
         return
-    once = lookalike.normal_text(text)
-    assert lookalike.visual_text(lookalike.visual_text(text)) == lookalike.visual_text(text)
-    assert once == lookalike.normal_text(unicodedata.normalize("NFC", text))
+    once, seen = FORMS.normal(text), FORMS.visual(text)
+    assert FORMS.visual(seen) == seen
+    assert once == FORMS.normal(unicodedata.normalize("NFC", text))
+    # what looks the same is of one class: the check within classes loses nothing
+    assert FORMS.normal(seen) == once
+
+
+def test_every_character_keeps_its_class():
+    for code in range(0x80, 0x20000):
+        if not 0xD800 <= code < 0xE000 and (seen := FORMS.visual(chr(code))) != chr(code):
+            assert FORMS.normal(chr(code)) == FORMS.normal(seen), hex(code)
+
+
+def test_confusable_letters(spark):
+    forms = lookalike.Forms(lookalike.confusable_letters(spark))
+    for a, b in (("Ꭺpple", "Apple"), ("Ꮃord", "Word"), ("ꓐus", "Bus"), ("𝖺𝖻", "ab")):
+        assert forms.visual(a) == forms.visual(b) and forms.normal(a) == forms.normal(b)
+    for a, b in (("𝐚", "a"), ("ο", "σ"), ("1", "l"), ("0", "O")):
+        assert forms.visual(a) != forms.visual(b)
+
+
+def test_links_of_classes(spark):
+    rows = [(1, "ab"), (2, "ａb"), (3, "ab"), (4, "AB"), (5, "xy"), (6, "xy"), (7, None)]
+    forms = lookalike.normalize_lookalikes(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    got = {r.text_id: r.n_links for r in lookalike.class_links(lookalike.lookalike_classes(forms)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    # a large class is cut into parts and loses no pair
+    many = spark.createDataFrame([(i, "ab" if i % 2 else "ａb") for i in range(40)], "id long, text string")
+    assert lookalike.lookalike_pairs(lookalike.normalize_lookalikes(many, "id", "text"), cell=3).count() == 400
 
 
 LIT = "rec_id long, doi string, abstract string, citation_count int, lit_source string, retrieved_at timestamp, group_id string"
@@ -129,6 +178,39 @@ def test_consensus(spark):
     values = [("s", "alpha beta gamma delta", 1.0)] * 3 + [("s", "alpha beta gamna delta", 3.5), ("s", "alpha beta", 1.0), ("t", "x", 1.0), (None, "y", 1.0), ("u", None, 1.0)]
     rows = {(r.slot, r.value): r for r in representative.consensus(spark.createDataFrame(values, "slot string, value string, weight double")).collect()}
     assert rows["s", "alpha beta"].is_cut and not rows["t", "x"].is_cut and len(rows) == 4
+    assert rows["s", "alpha beta gamna delta"].distance == 0 and rows["s", "alpha beta gamma delta"].distance == 1
+    # the existing value closest to a consensus that no value equals, from more values than one chunk holds
+    words = "one two three four five six seven eight nine ten".split()
+    made = [("m", " ".join(w if k != i else w + "x" for k, w in enumerate(words)), 1.0) for i in range(10)] + [("m", " ".join(words[:9]) + "y zz", 1.0)]
+    for chunk in (2, 64):
+        far = {r.value: r.distance for r in representative.consensus(spark.createDataFrame(made, "slot string, value string, weight double"), chunk).collect()}
+        assert all(far[v] == 1 for _, v, _ in made[:10]) and far[made[-1][1]] > 1
+
+
+def test_align():
+    a = [str(k % 977) for k in range(2010)]
+    for size in (1990, 2010):  # nothing changes with the length
+        x, y = a[:size], a[:size]
+        y = [*y[:5], "p", *y[6:900], "q", *y[901:1500], *y[1501:]]
+        pairs = representative.align(x, y)
+        assert len(pairs) == size - 1 and sum(x[i] == y[j] for i, j in pairs) == size - 3
+    assert representative.align([], ["a"]) == [] and representative.align(["a"], ["a"]) == [(0, 0)]
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
+@settings(max_examples=80, deadline=None)
+def test_align_is_best(a, b):
+    best = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            best[i, j] = -(i + j) if not i or not j else max(best[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), best[i - 1, j] - 1, best[i, j - 1] - 1)
+    for cells in (1 << 22, 6):  # held at once, or halved
+        representative.CELLS, kept = cells, representative.CELLS
+        pairs = representative.align(a, b)
+        representative.CELLS = kept
+        score = sum(2 if a[i] == b[j] else -1 for i, j in pairs) - (len(a) + len(b) - 2 * len(pairs))
+        # equal ends are taken off first, which costs nothing in the best alignment
+        assert pairs == sorted(set(pairs)) and score == best[len(a), len(b)]
 
 
 def leaks_by_hand(docs, items, least):

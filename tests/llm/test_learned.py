@@ -41,6 +41,23 @@ def test_names(spark):
     assert name_variants.link_variants(names.limit(0)).count() == 0
 
 
+def test_organisations_by_whole_words():
+    for name in ("Johnny Depp", "Labelle, Marie", "Ana Centeno", "Socorro Diaz", "Unity Smith", "Depardieu, G.", "Corpuz, Jay", "Wenzhi Labeimfoli", "Grouper, A."):
+        assert name_variants._organisation(name) is None, name
+    for name in ("Droszalrast Centre for Applied Sampling", "Grevudaen University Working Group", "Society of X, Nolflokhast", "A Dept. of B"):
+        assert name_variants._organisation(name), name
+
+
+def test_short_forms(spark):
+    linked = lambda names, **more: {r["name"]: r.author for r in name_variants.link_variants(spark.createDataFrame([(n,) for n in names], "name string"), **more).collect()}
+    got = linked(["Alexand. Marbolta", "Alexandrina Marbolta", "Bill Tosk", "William Tosk", "Max Zed", "Maxine Zed", "M. Zed"])
+    assert got["Alexand. Marbolta"] == got["Alexandrina Marbolta"] and got["Bill Tosk"] == got["William Tosk"]
+    assert len({got[n] for n in ("Max Zed", "Maxine Zed", "M. Zed")}) == 3
+    own = linked(["Bill Tosk", "William Tosk", "Zuzu Tosk", "Sidonia Tosk"], nicknames={"sidonia": ["zuzu"]})
+    assert own["Zuzu Tosk"] == own["Sidonia Tosk"] and own["Bill Tosk"] != own["William Tosk"]
+    assert len(set(linked(["Ana Lo", "Bo Lo"], nicknames={}).values())) == 2
+
+
 def test_close():
     assert name_variants.close("bomenrori", "bomenrroi") and name_variants.close("abcde", "abde") and not name_variants.close("abcdef", "abdcfe") and not name_variants.close("abc", "abd")
 
@@ -91,6 +108,25 @@ def test_mixing(spark):
     assert mixing.mix(docs, targets.limit(0))[0].filter("copies > 0").count() == 0
 
 
+def test_sources_from_words(spark):
+    rng = random.Random(6)
+    pools = {"law": "court judge appeal ruling statute", "cook": "salt butter oven flour dough", "sport": "goal match team score league"}
+    rows = []
+    for i in range(1500):
+        source = list(pools)[i % 3]
+        text = " ".join(rng.choice(pools[source].split()) for _ in range(30 + i % 50))
+        typed = None if i % 5 == 0 else "cook" if i % 50 == 1 else source  # a fifth untyped, some typed wrong
+        rows.append((i, text, "en", typed, None, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, file_path string, truth string")
+    report = mixing.classifier_report(docs).first()
+    assert report.accuracy > 0.9 and report.text_weight > 0 and report.error_rate >= 0.01
+    targets = spark.createDataFrame([("law", 0.5, 2.0), ("cook", 0.3, 1.0), ("sport", 0.2, 1.0)], "source string, target_share double, max_repeats double")
+    used = mixing.mix(docs, targets)[0].join(docs.select("doc_id", "truth"), "doc_id").groupBy("truth").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()
+    total = sum(r.n for r in used)
+    # the planted shares are reached by the true sources, typed or not
+    assert {r.truth: round(r.n / total, 2) for r in used} == pytest.approx({"law": 0.5, "cook": 0.3, "sport": 0.2}, abs=0.03)
+
+
 EASY, HARD = "cat dog sun run big red hat bus map pen", "hermeneutic epistemology stochastic bifurcation identifiability orthogonality ergodic manifold quiescence axiomatic"
 
 
@@ -110,6 +146,8 @@ def test_reading(spark):
     assert np.mean([got[i].reading_level == 1 + i % 5 for i in held]) > 0.8
     assert np.mean([(got[i].demanding > 0.5) == (i % 5 >= 3) for i in held]) > 0.9
     assert got[1001].reading_level is None and got[1002].n_words == 0 and got[1003].reading_level is None and got[1004].demanding < 0.5
+    assert len(reading.words(["한국어 문장 읽기 수준", "ひらがな", "Ελληνικά ελληνικά"])[0]) == 4 + 3 + 2
+    assert {x.doc_id for x in reading.demanding_documents(reading.reading_levels(d, reading.fit_levels(d, r))).collect()} == {i for i, x in got.items() if x.reading_level and x.reading_level >= 4}
     none = reading.fit_levels(d, r.limit(0))
     assert reading.reading_levels(d, none).filter("reading_level IS NOT NULL").count() == 0
     assert reading.prose("# a\nText here.\n- item\n[1] ref\n") .split() == ["text", "here."]
