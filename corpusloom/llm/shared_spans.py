@@ -124,21 +124,17 @@ def window_rows(span: int):
             n = get("n")
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(ends[owner] + get("start"), n) + place
-            pieces = codes[at[:, None] + np.arange(span)] if len(at) else np.zeros((0, span), np.uint32)
-            for lines in np.array_split(np.arange(len(at)), max(1, len(at) // 100_000)):
-                low, high = (_window_hash(pieces[lines], span, seed) for seed in (23, 47))
-                rest = [np.repeat(get(c), n)[lines] for c in ("low", "high", "first", "last")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rest[0], rest[1], place[lines], low.view(np.int64), high.view(np.int64), rest[2], rest[3])], names=names)
+            rest = [np.repeat(get(c), n) for c in ("low", "high", "first", "last")]
+            for begin in range(0, len(codes), CHUNK):
+                piece = codes[begin : begin + CHUNK + span - 1]
+                here = np.flatnonzero((at >= begin) & (at < begin + CHUNK))
+                if len(here):
+                    low, high = (window_hashes(piece, span, seed)[at[here] - begin].view(np.int64) for seed in (23, 47))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rest[0][here], rest[1][here], place[here], low, high, rest[2][here], rest[3][here])], names=names)
 
     return run
 
 
-def _window_hash(rows: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """``window_hashes`` of one window a row."""
-    flat = window_hashes(rows.reshape(-1), width, seed)
-    return flat[::width] if len(rows) else np.zeros(0, np.uint64)
-
-
 class FingerprintLog:
     """A persistent index of shared spans: ``append`` takes a batch, ``spans`` gives what is shared so far.
 
