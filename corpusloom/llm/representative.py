@@ -88,6 +88,9 @@ def _align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """``_align`` of tokens; what needs no table is told at once."""
+    if a == b or len(a) == len(b) == 1:
+        return [(k, k) for k in range(len(a))]
     numbers: dict[str, int] = {}
     x, y = (np.array([numbers.setdefault(t, len(numbers)) for t in tokens_], dtype=np.int64) for tokens_ in (a, b))
     return _align(x, y)
@@ -144,6 +147,10 @@ def _distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         far, cut = [], []
         for agreed, value in zip(pdf.agreed, pdf.value, strict=True):
             a, v = list(agreed), tokens(value)
+            if a == v:
+                far.append(0)
+                cut.append(False)
+                continue
             pairs = align(a, v)
             same = sum(a[i] == v[j] for i, j in pairs)
             far.append(len(a) + len(v) - len(pairs) - same)
