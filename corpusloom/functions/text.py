@@ -176,7 +176,9 @@ def protected_elements(text: Column) -> Column:
 
 
 # Words that say nothing about a subject.
-STOP_WORDS = "的 了 是 在 我 你 他 她 它 们 这 那 有 和 与 或 把 被 让 给 对 为 从 到 就 都 也 还 很 要 会 能 一个 什么 怎么 如何 可以 需要 现在 我们 你们 他们 这个 那个 the a an is are was were be to of in on for and or it this that with my me you we please help".split()
+STOP_WORDS = [
+    "的", "了", "是", "在", "我", "你", "他", "她", "它", "们", "这", "那", "有", "和", "与", "或", "把", "被", "让", "给", "对", "为", "从", "到", "就", "都", "也", "还", "很", "要", "会", "能", "一个", "什么", "怎么", "如何", "可以", "需要", "现在", "我们", "你们", "他们", "这个", "那个", "the", "a", "an", "is", "are", "was", "were", "be", "to", "of", "in", "on", "for", "and", "or", "it", "this", "that", "with", "my", "me", "you", "we", "please", "help",
+]
 
 
 def keywords(text: Column, most: int = 24, least: int = 2) -> Column:
@@ -218,3 +220,43 @@ def cited_numbers(text: Column, most_range: int = 10_000_000) -> Column:
         return F.when(high < low, F.array().cast("array<bigint>")).when(high - low > most_range, F.raise_error(F.concat(F.lit("range too long: "), p)).cast("array<bigint>")).otherwise(F.sequence(low, F.greatest(low, high)))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))
+
+
+# How a date is written, with a year and without.
+DATE = r"(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?"
+MONTH_DAY = r"(\d{1,2})\s*月\s*(\d{1,2})\s*日?"
+
+
+def date_parts(text: Column) -> Column:
+    """``STRUCT<year, month, day>`` of the first date in a text; a date without year has a null year, no date is null."""
+    part = lambda p, n: F.nullif(F.regexp_extract(text, p, n), F.lit("")).cast("int")
+    whole = F.struct(part(DATE, 1).alias("year"), part(DATE, 2).alias("month"), part(DATE, 3).alias("day"))
+    short = F.struct(F.lit(None).cast("int").alias("year"), part(MONTH_DAY, 1).alias("month"), part(MONTH_DAY, 2).alias("day"))
+    return F.when(text.rlike(DATE), whole).when(text.rlike(MONTH_DAY), short)
+
+
+def date_problem(parts: Column, this_year: int, back: int = 1, ahead: int = 6) -> Column:
+    """Why ``date_parts`` cannot be a date near ``this_year``: missing, month_day or year; no_year for one without; else null."""
+    wrong = ~parts["month"].between(1, 12) | ~parts["day"].between(1, 31)
+    return F.when(parts.isNull(), "missing").when(wrong, "month_day").when(parts["year"].isNull(), "no_year").when(~parts["year"].between(this_year - back, this_year + ahead), "year")
+
+
+def summary_name(path: Column, fallback: str = "材料") -> Column:
+    """A safe file name for notes on a file: its base name without extension and forbidden characters, with ``.md``."""
+    base = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    safe = F.trim(F.regexp_replace(base, r'[\\/:*?"<>|\x00-\x1f]', "_"))
+    return F.concat(F.coalesce(F.nullif(safe, F.lit("")), F.lit(fallback)), F.lit(".md"))
+
+
+def signed(value: Column) -> Column:
+    """A number with one decimal at most and its sign, halves upwards; zero has none."""
+    tenth = F.floor(value * 10 + 0.5) / 10
+    digits = F.regexp_replace(F.format_string("%.1f", tenth), r"\.0$", "")
+    return F.concat(F.when(tenth > 0, "+").otherwise(""), F.regexp_replace(digits, "^-0$", "0"))
+
+
+def quality(text: Column) -> Column:
+    """``STRUCT<n, printable, unreadable>``: characters, the share of them that print, and that of replacement marks; shares of an empty text are 1 and 0."""
+    n = F.char_length(text)
+    share = lambda p: F.try_divide(F.regexp_count(text, F.lit(p)).cast("double"), n)
+    return F.struct(n.cast("bigint").alias("n"), F.coalesce(1 - share(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), F.lit(1.0)).alias("printable"), F.coalesce(share("\ufffd"), F.lit(0.0)).alias("unreadable"))

@@ -8,13 +8,29 @@ from pyspark.sql import functions as F
 
 # File extensions by language and by kind of document, and the names of build files.
 LANGUAGES = {
-    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyw", "java": "java", "go": "go", "rust": "rs", "c": "c h", "cpp": "cc cpp cxx hpp hh",
-    "csharp": "cs", "php": "php", "ruby": "rb", "kotlin": "kt kts", "swift": "swift", "sql": "sql", "shell": "sh bash zsh ps1 bat", "vue": "vue", "html": "html htm", "css": "css scss less",
-}
-OFFICE = {"docx": "docx docm", "xlsx": "xlsx xlsm", "pptx": "pptx pptm", "pdf": "pdf"}
-TEXT = "md markdown txt csv tsv json yaml yml bib ris html htm"
-LEGACY = "doc xls ppt"
-MANIFESTS = "package.json pnpm-lock.yaml yarn.lock package-lock.json requirements.txt pyproject.toml pipfile environment.yml go.mod cargo.toml pom.xml build.gradle build.gradle.kts composer.json gemfile dockerfile docker-compose.yml makefile"
+    "typescript": ["ts", "tsx", "mts", "cts"],
+    "javascript": ["js", "jsx", "mjs", "cjs"],
+    "python": ["py", "pyw"],
+    "java": ["java"],
+    "go": ["go"],
+    "rust": ["rs"],
+    "c": ["c", "h"],
+    "cpp": ["cc", "cpp", "cxx", "hpp", "hh"],
+    "csharp": ["cs"],
+    "php": ["php"],
+    "ruby": ["rb"],
+    "kotlin": ["kt", "kts"],
+    "swift": ["swift"],
+    "sql": ["sql"],
+    "shell": ["sh", "bash", "zsh", "ps1", "bat"],
+    "vue": ["vue"],
+    "html": ["html", "htm"],
+    "css": ["css", "scss", "less"],
+}
+OFFICE = {"docx": ["docx", "docm"], "xlsx": ["xlsx", "xlsm"], "pptx": ["pptx", "pptm"], "pdf": ["pdf"]}
+TEXT = ["md", "markdown", "txt", "csv", "tsv", "json", "yaml", "yml", "bib", "ris", "html", "htm"]
+LEGACY = ["doc", "xls", "ppt"]
+MANIFESTS = ["package.json", "pnpm-lock.yaml", "yarn.lock", "package-lock.json", "requirements.txt", "pyproject.toml", "pipfile", "environment.yml", "go.mod", "cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "gemfile", "dockerfile", "docker-compose.yml", "makefile"]
 SKIP_DIRS = ["node_modules", ".git", "产出", ".paper", "dist", "lib", "__pycache__", ".venv", "venv"]
 # How declarations begin, by language: kind and pattern, the first that fits counts.
 NAME = r"([A-Za-z_$][\w$]*)"
@@ -60,8 +76,8 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(base_name(path), r"^.+\.([^.]+)$", 1)
 
 
-def _lookup(value: Column, table: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for name, exts in table.items() for e in exts.split() for x in (e, name)]
+def _lookup(value: Column, table: dict[str, list[str]]) -> Column:
+    pairs = [F.lit(x) for name, exts in table.items() for e in exts for x in (e, name)]
     return F.element_at(F.create_map(*pairs), value)
 
 
@@ -72,13 +88,13 @@ def language(path: Column) -> Column:
 
 def file_kind(path: Column) -> Column:
     """docx, xlsx, pptx, pdf, text, code or unsupported, in this order of precedence."""
-    is_text = base_name(path).isin(MANIFESTS.split()) | extension(path).isin(TEXT.split())
+    is_text = base_name(path).isin(MANIFESTS) | extension(path).isin(TEXT)
     return F.coalesce(_lookup(extension(path), OFFICE), F.when(is_text, "text"), F.when(language(path).isNotNull(), "code"), F.lit("unsupported"))
 
 
 def unsupported_reason(path: Column) -> Column:
     """Why a file cannot be read: legacy_office or unknown_format; null for files that can."""
-    return F.when(file_kind(path) == "unsupported", F.when(extension(path).isin(LEGACY.split()), "legacy_office").otherwise("unknown_format"))
+    return F.when(file_kind(path) == "unsupported", F.when(extension(path).isin(LEGACY), "legacy_office").otherwise("unknown_format"))
 
 
 def line_counts(files: DataFrame, most: int | None = 20_000) -> DataFrame:

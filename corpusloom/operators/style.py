@@ -112,3 +112,12 @@ def rewrite_hints(df: DataFrame, sentence: str = "sentence") -> DataFrame:
 def level_label(level: Column) -> Column:
     """The Chinese label of a risk level."""
     return F.when(level == "high", "高").when(level == "medium", "中").otherwise("低")
+
+
+# What names a source outside the thesis.
+EXTERNAL = r"(?i)文献|笔记|refs\.bib|\.bib|paper|arxiv|知网|万方|维普|他人|references"
+
+
+def citation_needed(source: Column) -> Column:
+    """Whether a hit in a source of this label must be quoted and cited (it is from outside) or only reworded."""
+    return F.coalesce(source.rlike(EXTERNAL), F.lit(False))

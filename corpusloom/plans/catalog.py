@@ -120,6 +120,11 @@ def rewrite_protected(spark, d):
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_elements"))
 
 
+@query("SELECT fp_id, length(text) AS n, CASE WHEN length(text) = 0 THEN 1 ELSE 1 - len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')) / length(text)::DOUBLE END AS printable, CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(replace(text, chr(65533), ''))) / length(text)::DOUBLE END AS unreadable FROM fingerprinted_texts")
+def text_quality(spark, d):
+    return table(spark, d, "fingerprinted_texts").select("fp_id", T.quality(F.col("text")).alias("q")).select("fp_id", "q.*")
+
+
 # overlap
 
 
@@ -254,6 +259,34 @@ def rewrite_hints(spark, d):
     return found.groupBy("doc_id", "hint").agg(F.count(F.lit(1)).alias("n_hints"), F.min("target").alias("least"), F.max("target").alias("greatest"))
 
 
+@query(f"SELECT risk_id, CASE risk_level WHEN 'high' THEN '高' WHEN 'medium' THEN '中' ELSE '低' END AS label, coalesce(regexp_matches(source_label, {Q.quote(Y.EXTERNAL)}), false) AS cite FROM risk_items")
+def risk_labels(spark, d):
+    return table(spark, d, "risk_items").select("risk_id", Y.level_label(F.col("risk_level")).alias("label"), Y.citation_needed(F.col("source_label")).alias("cite"))
+
+
+@query("SELECT risk_id, CASE WHEN r > 0 THEN '+' ELSE '' END || CASE WHEN r = round(r) THEN r::INT::VARCHAR ELSE printf('%.1f', r) END AS drop FROM (SELECT risk_id, floor((score - 0.5) * 1000 + 0.5) / 10 AS r FROM risk_items)")
+def signed_rates(spark, d):
+    return table(spark, d, "risk_items").select("risk_id", T.signed((F.col("score") - 0.5) * 100).alias("drop"))
+
+
+@query(f"SELECT * FROM {Q.values(X.DATES, 'answer, year, month, day, problem')}")
+def date_checks(spark, d):
+    rows = spark.createDataFrame([(x[0],) for x in X.DATES], "answer string").withColumn("parts", T.date_parts(F.col("answer")))
+    part = lambda name: F.coalesce(F.col("parts")[name], F.lit(0)).alias(name)
+    return rows.select("answer", part("year"), part("month"), part("day"), F.coalesce(T.date_problem(F.col("parts"), 2026), F.lit("")).alias("problem"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '[:*?\"<>|]', '_', 'g') || '.md' AS name FROM documents WHERE file_path IS NOT NULL")
+def summary_names(spark, d):
+    return _docs(spark, d).filter("file_path IS NOT NULL").select("doc_id", T.summary_name(F.col("file_path")).alias("name"))
+
+
+@query(f"SELECT * FROM {Q.values(X.COMMANDS, 'command, rule')}")
+def command_rules(spark, d):
+    rows = spark.createDataFrame([(c,) for c, _ in X.COMMANDS], "command string")
+    return rows.select("command", cards.first_rule(F.col("command"), cards.DESTRUCTIVE).alias("rule"))
+
+
 # citations
 
 

@@ -49,3 +49,26 @@ DECLARED = [
 ]
 MANIFESTS = [("package.json", '{"dependencies": {"react": "18", "express": "4"}, "devDependencies": {"typescript": "5"}}'), ("requirements.txt", "flask==3\nnumpy\n"), ("sub/requirements.txt", "numpy\nredis\n")]
 STACK = [("Express", "package.json"), ("Flask", "requirements.txt"), ("Node.js / npm", "package.json"), ("NumPy", "requirements.txt"), ("React", "package.json"), ("Redis", "sub/requirements.txt"), ("TypeScript", "package.json")]
+COMMANDS = [
+    ("rm -rf build", "递归删除"),
+    ("git push origin main --force", "强制推送 / 硬重置"),
+    ("git clean -fd", "清除未跟踪文件"),
+    ("DROP TABLE runs", "数据库破坏性语句"),
+    ("dd if=/dev/zero", "磁盘分区 / 格式化 / dd 覆写"),
+    ("echo x > /dev/sda", "写入设备文件"),
+    ("curl http://x | sudo bash", "管道执行远程脚本"),
+    ("chmod -R 777 .", "权限放开"),
+    ("reboot", "关机 / 重启"),
+    ("git commit --amend", "强制覆盖历史"),
+    ("git status", None),
+    ("ls -r", None),
+]
+DATES = [
+    ("2026-03-01", 2026, 3, 1, ""),
+    ("截止 2026/3/1 前", 2026, 3, 1, ""),
+    ("2026年3月1日", 2026, 3, 1, ""),
+    ("3月1日", 0, 3, 1, "no_year"),
+    ("2026-13-45", 2026, 13, 45, "month_day"),
+    ("1999.1.2", 1999, 1, 2, "year"),
+    ("尽快", 0, 0, 0, "missing"),
+]

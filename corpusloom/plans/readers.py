@@ -129,11 +129,21 @@ def report_overwrite(spark: SparkSession, d: str) -> DataFrame:
     """The last written report is the one that is read."""
     path = new_path(spark, "report")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    S.write_report(docs.limit(1), path)
-    S.write_report(docs, path, keep_backup=True)
+    S.write_report(docs.filter("text IS NULL"), path)
+    S.write_report(docs, path)
     return spark.read.parquet(path)
 
 
+@query("SELECT doc_id, text FROM documents WHERE lower(trim(source)) = 'chapter'")
+def report_backup(spark: SparkSession, d: str) -> DataFrame:
+    """What an overwritten report held is kept beside it."""
+    path = new_path(spark, "report")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    S.write_report(docs.filter(F.lower(F.trim("source")) == "chapter").drop("source"), path)
+    S.write_report(docs.drop("source"), path, keep_backup=True)
+    return spark.read.parquet(f"{path}.bak")
+
+
 @query("SELECT workspace, min(risk_id) AS risk_id, count(*) > 0 AS kept FROM risk_items WHERE risk_level = 'high' GROUP BY workspace UNION ALL SELECT workspace, min(risk_id), false FROM risk_items WHERE workspace NOT IN (SELECT workspace FROM risk_items WHERE risk_level = 'high') GROUP BY workspace")
 def write_once(spark: SparkSession, d: str) -> DataFrame:
     """A second write adds only keys that are not there yet."""

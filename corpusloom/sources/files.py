@@ -39,7 +39,7 @@ def list_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     parts = F.split("rel", "/")
     rows = rows.filter((F.size(parts) <= depth + 1) & (F.size(F.array_intersect(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, P.SKIP_DIRS)))) == 0))
     ext = P.extension(F.col("rel"))
-    rows = rows.filter(ext.isin([e.lower().lstrip("*.") for e in extensions])) if extensions else rows.filter((F.col("kind") != "unsupported") | ext.isin(P.LEGACY.split()))
+    rows = rows.filter(ext.isin([e.lower().lstrip("*.") for e in extensions])) if extensions else rows.filter((F.col("kind") != "unsupported") | ext.isin(P.LEGACY))
     return rows.orderBy("rel").limit(most) if most else rows
 
 
@@ -244,7 +244,7 @@ def _extract(kind: str, name: str, raw: bytes, limits: Limits) -> tuple[bool, st
             if raw[:2] not in (b"\xff\xfe", b"\xfe\xff") and looks_binary(raw):
                 return failed("binary")
             return True, decode_bytes(raw), None, None, False, False
-        return failed("legacy_office" if name.lower().endswith(tuple("." + e for e in P.LEGACY.split())) else "unknown_format")
+        return failed("legacy_office" if name.lower().endswith(tuple("." + e for e in P.LEGACY)) else "unknown_format")
     except Exception as error:  # a broken file is a row of its own
         return failed(f"{type(error).__name__}: {error}"[:200])
 

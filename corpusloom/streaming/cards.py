@@ -29,12 +29,16 @@ def matching_messages(messages: DataFrame, patterns: list[str], bypass: list[str
 
 # Commands that destroy something, by label; the first that fits counts.
 DESTRUCTIVE = [
-    ("delete_tree", r"\brm\s+(?:-[a-zA-Z]*r[a-zA-Z]*f|-[a-zA-Z]*f[a-zA-Z]*r)\b"),
-    ("hard_reset", r"\bgit\s+reset\s+--hard\b"),
-    ("force_push", r"\bgit\s+push\b.*(?:--force\b|\s-f\b)"),
-    ("clean", r"\bgit\s+clean\s+-[a-zA-Z]*f"),
-    ("drop", r"(?i)\bdrop\s+(?:table|database)\b"),
-    ("format", r"\bmkfs(?:\.\w+)?\b"),
+    ("递归删除", r"(?i)\brm\s+-[a-z]*r[a-z]*"),
+    ("强制推送 / 硬重置", r"(?i)\bgit\s+(push[^\n]*(--force|-f)|reset\s+(--hard|-f))"),
+    ("清除未跟踪文件", r"(?i)\bgit\s+clean\b"),
+    ("数据库破坏性语句", r"(?i)\b(drop\s+(table|database|index)|truncate(\s+table)?\b|delete\s+from\b)"),
+    ("磁盘分区 / 格式化 / dd 覆写", r"(?i)\b(mkfs\.|fdisk|parted\b|dd\s+if=)"),
+    ("写入设备文件", r"(?i)>\s*/dev/\S+"),
+    ("管道执行远程脚本", r"(?i)(curl|wget)[^|\n]*\|\s*(sudo\s+)?(ba)?sh\b"),
+    ("权限放开", r"(?i)chmod\s+(-R\s+)?(777|a\+rwx)"),
+    ("关机 / 重启", r"(?i)\b(shutdown|reboot|poweroff)\b"),
+    ("强制覆盖历史", r"(?i)\bgit\s+(push\b[^\n]*\+[^\s]*:|commit\s+--amend\b)"),
 ]
 
 
@@ -43,13 +47,13 @@ def first_rule(text, rules: list[tuple[str, str]]):
     return F.coalesce(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules)) if rules else F.lit(None).cast("string")
 
 
-def changed_only(stream: DataFrame, key: str, fingerprint: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+def changed_only(stream: DataFrame, key: str, fingerprint: str, carry: list[str] | None = None, ttl: int | None = None) -> DataFrame:
     """``(key, fingerprint, *carry)`` of the rows whose fingerprint differs from the last one seen for their key.
 
     Within a batch, rows of one key are taken in the order of ``seq``; only the columns named here are held for it, for
     the rows of one key in one micro-batch (limit those by the source's options). State is one string per key; with
-    ``ttl`` (a duration, processing time) it is forgotten after that long without rows. Null keys and fingerprints are
-    dropped.
+    ``ttl`` (milliseconds of processing time) it is forgotten after that long without rows. A stream with ``ttl`` goes
+    on until it is stopped, also when its trigger is ``availableNow``. Null keys and fingerprints are dropped.
     """
     carried = carry or []
 

@@ -95,3 +95,25 @@ def test_streams(spark, tmp_path):
     assert {r.key for r in cards.recall_stream(messages, facts).collect()} == {"alpha.a"}
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in cards.windowed_counts(events, "t", "k").collect()) == [1, 2]
+
+
+def test_state_is_forgotten(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 2)], "k string, state string, seq long")
+    source = tmp_path / "in"
+    rows.coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema(rows.schema).parquet(str(source))
+    q = cards.changed_only(stream, "k", "state", ["seq"], 1).writeStream.format("memory").queryName("forgotten").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("forgotten").count():
+                break
+            q.awaitTermination(1)
+        q.awaitTermination(3)  # the state ends meanwhile
+        rows.coalesce(1).write.mode("append").parquet(str(source))
+        for _ in range(60):
+            if spark.table("forgotten").count() > 1:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("forgotten").collect()] == [("a", "x", 1), ("a", "x", 1)]

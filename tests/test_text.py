@@ -80,6 +80,17 @@ def test_protected(spark):
     assert {("number", "35ms"), ("citation", "[2]"), ("code", "`run()`"), ("code", "get_value"), ("term", "重要术语")} <= got
 
 
+def test_scalars(spark):
+    parts = [one(spark, x, T.date_parts) for x in ("2026-03-01", "3月1日", "无", None)]
+    assert (parts[0].year, parts[0].month, parts[0].day) == (2026, 3, 1) and parts[1].year is None and parts[2] is None and parts[3] is None
+    assert [one(spark, x, lambda c: T.date_problem(T.date_parts(c), 2026)) for x in ("2026-03-01", "3月1日", "无", "2026-13-1", "1990-1-1")] == [None, "no_year", "missing", "month_day", "year"]
+    assert [one(spark, x, T.summary_name) for x in ("a/b:c.docx", "x", "", ".env", None)] == ["b_c.md", "x.md", "材料.md", "材料.md", "材料.md"]
+    assert [spark.range(1).select(T.signed(F.lit(x))).first()[0] for x in (1.25, -0.04, 3.0, -2.55)] == ["+1.3", "0", "+3", "-2.5"]
+    q = one(spark, "a\x00\ufffdb", T.quality)
+    assert (q.n, q.printable, q.unreadable) == (4, 0.75, 0.25) and one(spark, "", T.quality).printable == 1 and one(spark, None, T.quality).n is None
+    assert spark.range(1).select(F.crc32(F.lit(b"123456789"))).first()[0] == 0xCBF43926
+
+
 def test_messages(spark):
     rows = spark.createDataFrame([(1, "帮我写第三章的正文吧"), (2, "/help me please"), (3, None), (4, "短"), (5, "先不写第三章的正文")], "id int, text string")
     assert {r.id for r in cards.user_messages(rows).collect()} == {1, 5}
