@@ -17,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from corpusloom.runtime import discard, materialize, spread
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 STEPS, TOLERANCE = 60, 1e-4
 MOST_LABELLED = 50_000  # labelled documents the classifier is fitted to at most, every fifth of them held out
-MOST_CELLS = 50_000_000  # sources times tokens of the vocabulary: about 200 MB
+MOST_CELLS = 20_000_000  # sources times tokens of the vocabulary: about 160 MB a task
 GROUP = 2000  # documents per rounding group, about
 
 
@@ -93,7 +94,10 @@ class SourceModel:
         """Per document: log-odds by the features, and those by the tokens of its text."""
         none = np.zeros(len(self.known))
         by_field = np.array([sum((t.get(v, none) for t, v in zip(self.fields, values, strict=True)), self.prior) for values in zip(*fields, strict=True)]).reshape(-1, len(self.known))
-        by_text = np.array([self.tokens[:, np.asarray(t, dtype=np.int64)].sum(axis=1) for t in encoded], dtype=np.float64).reshape(-1, len(self.known))
+        sizes = np.array([len(t) for t in encoded], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(encoded), dtype=np.int64, count=int(sizes.sum()))
+        owner = np.repeat(np.arange(len(encoded)), sizes)
+        by_text = np.stack([np.bincount(owner, weights=row[flat], minlength=len(encoded)) for row in self.tokens], axis=1)
         return by_field, by_text
 
     def posteriors(self, by_field: np.ndarray, by_text: np.ndarray, heat: float | None = None) -> np.ndarray:
@@ -105,10 +109,14 @@ class SourceModel:
         """Heat and error rate under which the held-out labels are likeliest."""
         if not len(label):
             return
-        own = lambda heat: self.posteriors(by_field, by_text, heat)[np.arange(len(label)), label]
-        self.heat = max((math.inf, 1000.0, 300.0, 100.0, 30.0, 10.0, 3.0, 1.0), key=lambda h: np.log(own(h) + 1e-12).mean())
-        p, k = own(self.heat), max(2, len(self.known))
-        self.error = max((0.001, 0.003, 0.01, 0.03, 0.1, 0.3), key=lambda e: np.log(p * (1 - e) + (1 - p) * e / (k - 1) + 1e-12).mean())
+        k = max(2, len(self.known))
+        best = -math.inf
+        for heat in (math.inf, 1000.0, 300.0, 100.0, 30.0, 10.0, 3.0, 1.0):
+            p = self.posteriors(by_field, by_text, heat)[np.arange(len(label)), label]
+            for error in (0.001, 0.003, 0.01, 0.03, 0.1, 0.3):
+                likelihood = np.log(p * (1 - error) + (1 - p) * error / (k - 1)).mean()
+                if likelihood > best:
+                    best, self.heat, self.error = likelihood, heat, error
 
     def observed(self, p: np.ndarray, typed: list[str | None]) -> np.ndarray:
         """Posteriors once the typed sources, where there are any, have been seen."""
@@ -129,7 +137,7 @@ def _encode(texts: list, path: str) -> list[list[int]]:
 
 
 def fit_sources(rows: DataFrame, known: list[str], tokenizer: str, most_labelled: int = MOST_LABELLED) -> SourceModel:
-    """Fit the classifier to at most ``most_labelled`` documents with a typed source, picked by a hash of the id.
+    """Fit the classifier to about ``most_labelled`` documents with a typed source at most, picked by a hash of the id.
 
     Four fifths give the counts, the others calibrate it. The model's size is bounded by sources times vocabulary.
     """
@@ -137,24 +145,30 @@ def fit_sources(rows: DataFrame, known: list[str], tokenizer: str, most_labelled
     if len(known) * size > MOST_CELLS:
         raise ValueError("too many sources for one classifier")
     place = {s: k for k, s in enumerate(known)}
-    sample = rows.filter(F.col("typed").isin(known)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = materialize(sample.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0), "labelled")
+    labelled = rows.filter(F.col("typed").isin(known))
+    # a share of the ids by their hash: no sorting, and the sample stays spread over its partitions
+    share = min(1.0, most_labelled / max(1, labelled.count()))
+    bucket = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(n))
+    sample = labelled.filter(bucket("pick", 1_000_000) < int(share * 1_000_000))
+    sample = materialize(spread(sample).withColumn("held", bucket("held", 5) == 0), "labelled")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        table = np.zeros((len(known), size), dtype=np.int64)
         for batch in by_size(batches):
             labels = [place[t] for t in batch.column("typed").to_pylist()]
             for k, tokens in zip(labels, _encode(batch.column("text").to_pylist(), tokenizer), strict=True):
-                ids, n = np.unique(np.asarray(tokens, dtype=np.int64), return_counts=True)
-                for token, c in zip(ids.tolist(), n.tolist(), strict=True):
-                    total["t", str(token), k] += c
+                if tokens:
+                    n = np.bincount(np.asarray(tokens, dtype=np.int64))
+                    table[k, : len(n)] += n
                 total["n", "", k] += 1
             for f in range(N_FEATURES):
                 total.update((f"f{f}", v, k) for v, k in zip(batch.column(f"f{f}").to_pylist(), labels, strict=True))
+        total.update({("t", str(token), int(k)): int(table[k, token]) for k, token in zip(*np.nonzero(table), strict=True)})
         field, value, k = zip(*total, strict=True) if total else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(field, pa.string()), pa.array(value, pa.string()), pa.array(k, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["field", "value", "k", "n"])
 
-    got = spread(sample.filter("NOT held")).mapInArrow(counts, "field string, value string, k int, n bigint").groupBy("field", "value", "k").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.filter("NOT held").mapInArrow(counts, "field string, value string, k int, n bigint").groupBy("field", "value", "k").agg(F.sum("n").alias("n")).toPandas()
     tokens, prior, fields = np.zeros((len(known), size), dtype=np.float32), np.zeros(len(known)), {}
     for field, value, k, n in got.itertuples(index=False):
         if field == "t":
@@ -172,7 +186,7 @@ def fit_sources(rows: DataFrame, known: list[str], tokenizer: str, most_labelled
             yield pa.RecordBatch.from_arrays([batch.column("typed"), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64()))], names=["typed", "a", "b"])
 
     # a fifth of the sample at most
-    held = spread(sample.filter("held")).mapInArrow(scores, "typed string, a array<double>, b array<double>").toPandas()
+    held = sample.filter("held").mapInArrow(scores, "typed string, a array<double>, b array<double>").toPandas()
     label = np.array([place[t] for t in held.typed], dtype=np.int64)
     a, b = (np.array(held[c].tolist(), dtype=np.float64).reshape(-1, len(known)) for c in "ab")
     model.calibrate(a, b, label)
