@@ -55,13 +55,14 @@ def changed_only(stream: DataFrame, key: str, fingerprint: str, carry: list[str]
     ``ttl`` (milliseconds of processing time) it is forgotten after that long without rows. A stream with ``ttl`` goes
     on until it is stopped, also when its trigger is ``availableNow``. Null keys and fingerprints are dropped.
     """
-    carried = carry or []
+    carried = [c for c in dict.fromkeys(carry or []) if c not in (key, fingerprint)]
+    held = list(dict.fromkeys([fingerprint, "seq", *carried]))
 
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat([pdf[[fingerprint, "seq", *carried]] for pdf in frames]).sort_values("seq", kind="stable")
+        rows = pd.concat([pdf[held] for pdf in frames]).sort_values("seq", kind="stable")
         before = rows[fingerprint].shift(1)
         before.iloc[0] = state.get[0] if state.exists else None
         fresh = rows[rows[fingerprint] != before]
@@ -72,7 +73,7 @@ def changed_only(stream: DataFrame, key: str, fingerprint: str, carry: list[str]
             yield pd.DataFrame({key: keys[0], fingerprint: fresh[fingerprint].to_numpy(), **{c: fresh[c].to_numpy() for c in carried}})
 
     kinds = dict(stream.dtypes)
-    rows = stream.select(key, F.col(fingerprint).cast("string").alias(fingerprint), "seq", *carried).filter(F.col(key).isNotNull() & F.col(fingerprint).isNotNull())
+    rows = stream.select(key, F.col(fingerprint).cast("string").alias(fingerprint), *held[1:]).filter(F.col(key).isNotNull() & F.col(fingerprint).isNotNull())
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
     schema = ", ".join([f"{key} {kinds[key]}", f"{fingerprint} string", *(f"{c} {kinds[c]}" for c in carried)])
     return rows.groupBy(key).applyInPandasWithState(update, schema, "last string", "append", timeout)
