@@ -264,7 +264,7 @@ def risk_labels(spark, d):
     return table(spark, d, "risk_items").select("risk_id", Y.level_label(F.col("risk_level")).alias("label"), Y.citation_needed(F.col("source_label")).alias("cite"))
 
 
-@query("SELECT risk_id, CASE WHEN r > 0 THEN '+' ELSE '' END || CASE WHEN r = round(r) THEN r::INT::VARCHAR ELSE printf('%.1f', r) END AS drop FROM (SELECT risk_id, floor((score - 0.5) * 1000 + 0.5) / 10 AS r FROM risk_items)")
+@query("SELECT risk_id, CASE WHEN r > 0 THEN '+' ELSE '' END || CASE WHEN r = round(r) THEN r::INT::VARCHAR ELSE printf('%.1f', r) END AS drop FROM (SELECT risk_id, floor((score - 0.5) * 100 * 10 + 0.5) / 10 AS r FROM risk_items)")
 def signed_rates(spark, d):
     return table(spark, d, "risk_items").select("risk_id", T.signed((F.col("score") - 0.5) * 100).alias("drop"))
 
