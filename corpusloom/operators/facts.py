@@ -74,7 +74,7 @@ def recall(facts: DataFrame, messages: DataFrame, most: int = 4) -> DataFrame:
 
 
 # The first line of a card of recalled facts, and the one that says that it was cut.
-CARD_HEADER = "【已确认事实 · dsh-thesis】以下是你以前确认过的稳定事实（跨会话记住的，可能过时；与用户当前说法冲突时以用户为准）："
+CARD_HEADER = "【已确认事实】以下是你以前确认过的稳定事实（跨会话记住的，可能过时；与用户当前说法冲突时以用户为准）："
 CUT_MARK = "- …（还有更多事实，需要时用 fact_context 查询）"
 
 
