@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import by_size
-from corpusloom.runtime import intermediates, materialize, new_path, read_bytes, remove, salted_join, spread, write_bytes
+from corpusloom.runtime import brief_shuffles, intermediates, materialize, new_path, read_bytes, remove, salted_join, spread, write_bytes
 
 SPAN, GRAM = 80, 40
 CHUNK = 1 << 21  # code points hashed at once; longer texts go through in overlapping pieces
@@ -165,7 +165,8 @@ class FingerprintLog:
     def _write(self, rows: DataFrame, run: str, part: str) -> None:
         keys = ["anchor"] if part == "anchors" else ["anchor", "part"]
         name = f"log_{run}_{part}"
-        rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{run}/{part}").saveAsTable(name)
+        with brief_shuffles(self.spark):
+            rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{run}/{part}").saveAsTable(name)
 
     def _texts(self, runs: list[str]) -> DataFrame:
         return self.spark.read.schema("rec_id bigint, text string").parquet(*(f"{self.path}/{r}/texts" for r in runs))
@@ -181,11 +182,12 @@ class FingerprintLog:
             self.compact()
         run = uuid.uuid4().hex
         texts = records.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.col("text").cast("string").alias("text")).filter(F.char_length("text") >= self.span)
-        spread(texts).write.parquet(f"{self.path}/{run}/texts")
+        with brief_shuffles(self.spark):
+            spread(texts).write.parquet(f"{self.path}/{run}/texts")
         blocks = spread(self._texts([run])).mapInArrow(block_rows(self.span, self.gram), BLOCK)
         self._write(blocks.withColumn("part", F.pmod(F.xxhash64("rec_id"), F.lit(PARTS)).cast("int")), run, "blocks")
         self._write(self._bucketed(run, "blocks").groupBy("anchor").agg(F.min("rec_id").alias("low_id"), F.max("rec_id").alias("high_id")), run, "anchors")
-        with intermediates():
+        with intermediates(), brief_shuffles(self.spark):
             found = self._found(run)
             found.write.parquet(f"{self.path}/{run}/hits")
         self.runs, self.hits = [*self.runs, run], [*self.hits, run]
@@ -200,7 +202,8 @@ class FingerprintLog:
             met = met.join(before, "anchor", "left").select("anchor", F.least("low_id", "old_low").alias("low_id"), F.greatest("high_id", "old_high").alias("high_id"))
         met = materialize(met.filter("low_id <> high_id").select("anchor"), "met")
         keys = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        held = [self._bucketed(r, "blocks").join(keys, ["anchor", "part"]).select("anchor", F.struct("low", "high").alias("block"), "n", "rec_id", "start") for r in runs]
+        # sixteen times as many as the planner thinks: it would broadcast them, through the driver
+        held = [self._bucketed(r, "blocks").join(keys.hint("merge"), ["anchor", "part"]).select("anchor", F.struct("low", "high").alias("block"), "n", "rec_id", "start") for r in runs]
         every = held[0]
         for more in held[1:]:
             every = every.union(more)
@@ -236,7 +239,8 @@ class FingerprintLog:
             anchors[0] = anchors[0].unionByName(more)
         self._write(blocks[0], run, "blocks")
         self._write(anchors[0].groupBy("anchor").agg(F.min("low_id").alias("low_id"), F.max("high_id").alias("high_id")), run, "anchors")
-        self.spans().write.parquet(f"{self.path}/{run}/hits")
+        with brief_shuffles(self.spark):
+            self.spans().write.parquet(f"{self.path}/{run}/hits")
         self.runs, self.hits = [run], [run]
         self._save()
         for gone in {*old, *old_hits}:
