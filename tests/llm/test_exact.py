@@ -273,3 +273,17 @@ def test_letter_table():
     assert "".join(map(chr, letters)) == "abfie" and place.tolist() == [0, 1, 3, 3, 5]
     with pytest.raises(AttributeError):
         leakage.LetterTable().letters(None)
+
+
+def test_no_table_of_confusable_letters_is_an_error():
+    class Session:
+        class _jvm:
+            class com:
+                class ibm:
+                    class icu:
+                        class text:
+                            class SpoofChecker:
+                                Builder = object()  # a class that is not there can't be called
+
+    with pytest.raises(RuntimeError, match="ICU"):
+        lookalike.confusable_letters(Session())
