@@ -4,6 +4,9 @@ Both sides are exploded to distinct shingles, as 64-bit hashes, and meet in an e
 has containment 0, so nothing is lost. A collection whose shingles are counted and few is sent to all tasks: then the
 shingles of a paragraph stay together, counting combines before the shuffle, and only pairs are moved. Beyond that
 size both sides are shuffled by shingle, and shingles that flood either side are spread over cells.
+
+Within scopes, where most pairs have common shingles, no pair is shuffled: both sides of a scope are cut into blocks of
+bounded length, and the texts of each two blocks meet in one task, which counts there and gives the hits alone.
 """
 
 from __future__ import annotations
@@ -11,7 +14,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +26,14 @@ from corpusloom.runtime import fits, hot_keys, materialize, spread
 
 SHINGLE, LEAST_RUN, MOST_SPANS = 4, 8, 5
 MOST_SENT = 2_000_000  # shingles of a collection that is sent to all tasks: about 50 MB
+BLOCK_CHARS = 2_000_000  # characters of one side of a scope that a task holds; a longer text is held by itself
+COUNTED = 4_000_000  # meetings of shingles, and cells of counts, that are held at once
 SIDES = 8  # a flooding shingle is met in SIDES x SIDES cells
 
 
-def fingerprints(df: DataFrame, key: str, normalised: str, n: int, scope: str | None = None) -> DataFrame:
-    """``(key, size, shingle)``: a row per distinct shingle, as a hash, with their number. Null and empty texts have none.
-
-    With ``scope``, a column, equal shingles of different scopes are different.
-    """
-    within = [F.col(scope)] if scope else []
-    hashed = F.array_distinct(F.transform(T.shingles(F.col(normalised), n), lambda x: F.xxhash64(x, *within)))
+def fingerprints(df: DataFrame, key: str, normalised: str, n: int) -> DataFrame:
+    """``(key, size, shingle)``: a row per distinct shingle, as a hash, with their number. Null and empty texts have none."""
+    hashed = F.array_distinct(F.transform(T.shingles(F.col(normalised), n), lambda x: F.xxhash64(x)))
     return df.select(key, hashed.alias("all")).select(key, F.size("all").alias("size"), F.explode("all").alias("shingle"))
 
 
@@ -58,10 +62,11 @@ def containment_hits(segments: DataFrame, corpus: DataFrame, n: int = SHINGLE, l
     ``own_id``, that corpus text is its own and not compared. ``scope``, a column of both, keeps scopes apart.
     """
     own = ["own_id"] if "own_id" in segments.columns else []
-    more = [scope] if scope else []
+    if scope:
+        return _scoped_hits(segments.select("segment_id", "normalised", scope, *own), corpus.select("corpus_id", "normalised", scope), n, least, scope)
     key = F.struct("segment_id", *own).alias("at")
-    left = fingerprints(spread(segments.select(key, "normalised", *more)), "at", "normalised", n, scope).select("at.*", F.col("size").alias("a_size"), "shingle")
-    right = materialize(fingerprints(spread(corpus.select("corpus_id", "normalised", *more)), "corpus_id", "normalised", n, scope).withColumnRenamed("size", "b_size"), "right")
+    left = fingerprints(spread(segments.select(key, "normalised")), "at", "normalised", n).select("at.*", F.col("size").alias("a_size"), "shingle")
+    right = materialize(fingerprints(spread(corpus.select("corpus_id", "normalised")), "corpus_id", "normalised", n).withColumnRenamed("size", "b_size"), "right")
     met = _met(left, right, most_sent)
     if own:
         met = met.filter("corpus_id <> own_id")
@@ -70,6 +75,98 @@ def containment_hits(segments: DataFrame, corpus: DataFrame, n: int = SHINGLE, l
     return out.filter(F.col("containment") >= least) if least else out
 
 
+def _shingle_rows(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(owner, shingle)``: the distinct shingles of each text as 64-bit hashes, by owner and hash."""
+    texts = [t or "" for t in texts]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+
+    def mixed(places: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(len(places), width, dtype=np.uint64)
+        for k in range(width):
+            out = (out ^ codes[places + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(32)
+        return out
+
+    windows = np.maximum(lengths - n + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    starts = np.repeat(ends - lengths, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    owners, hashes = [owner], [mixed(starts, n)]
+    for width in range(1, n):  # a shorter text is one shingle
+        of = np.flatnonzero(lengths == width)
+        owners.append(of)
+        hashes.append(mixed((ends - lengths)[of], width))
+    owner, hashed = np.concatenate(owners), np.concatenate(hashes)
+    order = np.lexsort((hashed, owner))
+    owner, hashed = owner[order], hashed[order]
+    fresh = np.ones(len(owner), dtype=bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
+    return owner[fresh], hashed[fresh]
+
+
+def common_shingles(segments: list, corpus: list, n: int, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(segment, text, common, size of segment, size of text)`` of the pairs that meet and reach ``least``, by their places."""
+    b_owner, b_hash = _shingle_rows(corpus, n)
+    b_size = np.bincount(b_owner, minlength=len(corpus))
+    order = np.argsort(b_hash, kind="stable")
+    b_owner, b_hash = b_owner[order], b_hash[order]
+    a_owner, a_hash = _shingle_rows(segments, n)
+    a_size = np.bincount(a_owner, minlength=len(segments))
+    first = np.searchsorted(b_hash, a_hash, side="left")
+    often = np.searchsorted(b_hash, a_hash, side="right") - first
+    bounds = np.searchsorted(a_owner, np.arange(len(segments) + 1))
+    meetings = np.concatenate([[0], np.cumsum(often)])[bounds]  # of all segments before each
+    at = 0
+    while at < len(segments):
+        stop = min(int(np.searchsorted(meetings, meetings[at] + COUNTED, side="right")) - 1, at + max(1, COUNTED // max(1, len(corpus))), len(segments))
+        stop = max(at + 1, stop)
+        rows = slice(bounds[at], bounds[stop])
+        times = often[rows]
+        total = int(times.sum())
+        places = np.repeat(first[rows] - (np.cumsum(times) - times), times) + np.arange(total)
+        counts = np.bincount(np.repeat((a_owner[rows] - at) * len(corpus), times) + b_owner[places], minlength=1)
+        cell = np.flatnonzero(counts)
+        segment, text, common = cell // len(corpus) + at, cell % len(corpus), counts[cell]
+        keep = common / a_size[segment] >= least
+        yield segment[keep], text[keep], common[keep], a_size[segment[keep]], b_size[text[keep]]
+        at = stop
+
+
+def _scoped_hits(segments: DataFrame, corpus: DataFrame, n: int, least: float, scope: str) -> DataFrame:
+    """``containment_hits`` within each ``scope``; a null one holds nothing."""
+    own = "own_id" in segments.columns
+    segments, corpus = materialize(segments, "segments"), materialize(corpus, "corpus")
+    blocks = lambda df, name: df.filter(F.col(scope).isNotNull()).groupBy(scope).agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.sum(F.char_length("normalised")) / BLOCK_CHARS)).alias(name))
+    cells = materialize(blocks(segments, "a_blocks").join(blocks(corpus, "b_blocks"), scope), "cells")
+    placed = lambda df, key, mine, other, a, b: df.join(cells, scope).select(*df.columns, F.pmod(F.xxhash64(key), mine).alias(a), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(b)).drop("a_blocks", "b_blocks")
+    left = placed(segments, "segment_id", "a_blocks", "b_blocks", "a_block", "b_block")
+    right = placed(corpus, "corpus_id", "b_blocks", "a_blocks", "b_block", "a_block")
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = a.column("segment_id").combine_chunks(), b.column("corpus_id").combine_chunks()
+        own_ids = a.column("own_id").combine_chunks() if own else None
+        found: list[list[pa.Array]] = []
+        if len(ids[0]) and len(ids[1]):
+            for segment, text, *sizes in common_shingles(a.column("normalised").to_pylist(), b.column("normalised").to_pylist(), n, least):
+                names = [ids[0].take(pa.array(segment)), ids[1].take(pa.array(text))]
+                batch = pa.table([*names, *(pa.array(x.astype(np.int64)) for x in sizes)], schema=schema)
+                if own:
+                    batch = batch.filter(pc.not_equal(names[1], own_ids.take(pa.array(segment)).cast(names[1].type)))
+                found.append(batch)
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    kinds = dict(segments.dtypes) | dict(corpus.dtypes)
+    schema_sql = f"segment_id {kinds['segment_id']}, corpus_id {kinds['corpus_id']}, common bigint, a bigint, b bigint"
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([("segment_id", arrow[kinds["segment_id"]]), ("corpus_id", arrow[kinds["corpus_id"]]), ("common", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    keys = [scope, "a_block", "b_block"]
+    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(count, schema_sql)
+    return counted.select("segment_id", "corpus_id", "common", (F.col("common") / F.col("a")).alias("containment"), (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("jaccard"))
+
+
 def longest_runs(pairs: DataFrame, shingle: int = SHINGLE, least: int = LEAST_RUN) -> DataFrame:
     """``(segment_id, corpus_id, longest_run)`` of pairs ``(segment_id, corpus_id, a, b)``; 0 for none of ``least`` characters."""
 

@@ -56,6 +56,23 @@ def test_containment_equals_naive(spark, monkeypatch):
     assert {r.corpus_id for r in own.collect()} == {c for _, c in want if c != "c0"}
 
 
+def test_scoped_pairs_are_counted_in_blocks_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(O, "COUNTED", 100)
+    words = ["甲乙丙丁戊己庚辛", "子丑寅卯辰巳午未", "天地玄黄宇宙洪荒", "日月盈昃辰宿列张", "abc", ""]
+    rows = [(i, None if i == 7 else words[i % 6] + words[(i * 5 + 1) % 6] + words[(i * i) % 5], ("p", "q", None)[i % 7 % 3]) for i in range(40)]
+    a = spark.createDataFrame([(f"s{i}", t, w, i) for i, t, w in rows], "segment_id string, normalised string, w string, own_id long")
+    b = spark.createDataFrame(rows, "corpus_id long, normalised string, w string")
+    hits = O.containment_hits(a, b, 4, least=0.3, scope="w")
+    got = {(r.segment_id, r.corpus_id): (r.common, r.containment, r.jaccard) for r in hits.collect()}
+    every = brute([(f"s{i}", t) for i, t, _ in rows], [(i, t) for i, t, _ in rows], 4)
+    scope = {i: w for i, _, w in rows}
+    want = {(s, c): v for (s, c), v in every.items() if scope[c] and scope[int(s[1:])] == scope[c] and int(s[1:]) != c and v[1] >= 0.3}
+    assert len(want) > 50 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_best_and_levels(spark):
     hits = spark.createDataFrame([("a", "y", 0.5), ("a", "x", 0.5), ("b", "x", 0.2), ("c", "x", 0.1)], "segment_id string, corpus_id string, containment double")
     texts = spark.createDataFrame([("a", "甲乙丙丁戊己庚辛壬癸"), ("b", "t"), ("c", None)], "segment_id string, normalised string")
