@@ -76,7 +76,7 @@ def containment_hits(segments: DataFrame, corpus: DataFrame, n: int = SHINGLE, l
 
 
 def _shingle_rows(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(owner, shingle)``: the distinct shingles of each text as 64-bit hashes, by owner and hash."""
+    """``(owner, shingle)``: the distinct shingles of each text as 64-bit hashes, in the order of the hash."""
     texts = [t or "" for t in texts]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -100,7 +100,7 @@ def _shingle_rows(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
         owners.append(of)
         hashes.append(mixed((ends - lengths)[of], width))
     owner, hashed = np.concatenate(owners), np.concatenate(hashes)
-    order = np.lexsort((hashed, owner))
+    order = np.argsort(hashed, kind="stable")  # owners stay in order within a hash
     owner, hashed = owner[order], hashed[order]
     fresh = np.ones(len(owner), dtype=bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
@@ -110,13 +110,15 @@ def _shingle_rows(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
 def common_shingles(segments: list, corpus: list, n: int, least: float) -> Iterator[tuple[np.ndarray, ...]]:
     """``(segment, text, common, size of segment, size of text)`` of the pairs that meet and reach ``least``, by their places."""
     b_owner, b_hash = _shingle_rows(corpus, n)
-    b_size = np.bincount(b_owner, minlength=len(corpus))
-    order = np.argsort(b_hash, kind="stable")
-    b_owner, b_hash = b_owner[order], b_hash[order]
     a_owner, a_hash = _shingle_rows(segments, n)
-    a_size = np.bincount(a_owner, minlength=len(segments))
-    first = np.searchsorted(b_hash, a_hash, side="left")
-    often = np.searchsorted(b_hash, a_hash, side="right") - first
+    a_size, b_size = np.bincount(a_owner, minlength=len(segments)), np.bincount(b_owner, minlength=len(corpus))
+    starts = np.flatnonzero(np.concatenate([[True], b_hash[1:] != b_hash[:-1]])) if len(b_hash) else np.zeros(0, dtype=np.int64)
+    held, runs = b_hash[starts], np.diff(np.append(starts, len(b_hash)))
+    place = np.searchsorted(held, a_hash)  # both in order
+    met = np.flatnonzero(place < len(held))
+    met = met[held[place[met]] == a_hash[met]]
+    met = met[np.argsort(a_owner[met], kind="stable")]
+    a_owner, first, often = a_owner[met], starts[place[met]], runs[place[met]]
     bounds = np.searchsorted(a_owner, np.arange(len(segments) + 1))
     meetings = np.concatenate([[0], np.cumsum(often)])[bounds]  # of all segments before each
     at = 0

@@ -176,10 +176,10 @@ def rate_delta(spark, d):
 def cross_document_scan(spark, d):
     """Paragraphs of chapters against all other documents of their workspace, by the reference's defaults."""
     docs = _docs(spark, d)
-    chapters = docs.filter(F.lower(F.trim("source")) == "chapter").select("doc_id", "workspace")
-    segments = S.paragraphs(docs.select(F.struct("doc_id", "workspace", "source").alias("at"), "text"), "at").filter(F.lower(F.trim("at.source")) == "chapter")
+    written = docs.filter(F.lower(F.trim("source")) == "chapter")
+    segments = S.paragraphs(written.select(F.struct("doc_id", "workspace").alias("at"), "text"), "at")
     segments = segments.select(F.concat_ws(":", "at.doc_id", "line_start").alias("segment_id"), F.col("at.doc_id").alias("own_id"), "at.workspace", "normalised")
-    corpus = docs.select(F.col("doc_id").alias("corpus_id"), "workspace", T.normal(F.col("text")).alias("normalised")).join(chapters.select("workspace").distinct(), "workspace", "left_semi")
+    corpus = docs.select(F.col("doc_id").alias("corpus_id"), "workspace", T.normal(F.col("text")).alias("normalised")).join(written.select("workspace").distinct(), "workspace", "left_semi")
     return O.containment_hits(segments, corpus, least=THRESHOLD, scope="workspace")
 
 
