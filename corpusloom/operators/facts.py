@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.runtime import materialize, salted_join
+from corpusloom.runtime import materialize, salted_join, salted_semi_join
 
 
 def _contains(column: str, query: str) -> Column:
@@ -53,12 +56,55 @@ def upsert(facts: DataFrame, changes: DataFrame) -> DataFrame:
     return last.select("key", *(F.col(f"last.{n}").alias(n) for n in names), "created_at")
 
 
+FACTS_HELD, MESSAGES_HELD = 20_000, 4_000  # facts and messages that meet in one task
+CELLS = 4_000_000  # counts of a message and a fact that are held at once
+
+
+def top_facts(words: pa.Table, facts: pa.Table, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(message, fact, score)`` of the ``most`` best facts of each message, as places in the two tables.
+
+    ``words`` has ``words``, the keywords of each message, ``facts`` has ``words``, those that a fact holds,
+    ``confidence``, ``updated_at`` and ``key``.
+    """
+    order = pc.sort_indices(facts, [("updated_at", "descending"), ("key", "ascending")])  # nulls last: a tie goes to the first
+    facts = facts.take(order)
+    flat = lambda t: (np.repeat(np.arange(t.num_rows), pc.list_value_length(t["words"]).to_numpy(zero_copy_only=False)), pc.list_flatten(t["words"]).combine_chunks())
+    (m_owner, m_word), (f_owner, f_word) = flat(words), flat(facts)
+    known = f_word.unique()
+    m_code = pc.fill_null(pc.index_in(m_word, value_set=known), -1).to_numpy(zero_copy_only=False)
+    f_code = pc.index_in(f_word, value_set=known).to_numpy(zero_copy_only=False)
+    by = np.argsort(f_code, kind="stable")
+    f_owner, starts = f_owner[by], np.searchsorted(f_code[by], np.arange(len(known) + 1))
+    m_owner, m_code = m_owner[m_code >= 0], m_code[m_code >= 0]
+    extra = 0.01 * pc.fill_null(facts["confidence"].cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    n, out = facts.num_rows, []
+    step = max(1, CELLS // n)
+    for at in range(0, words.num_rows, step):
+        size = min(step, words.num_rows - at)
+        low, high = np.searchsorted(m_owner, [at, at + size])
+        counts = np.zeros(size * n, dtype=np.int32)
+        for owner, code in zip(m_owner[low:high] - at, m_code[low:high], strict=True):
+            counts[owner * n + f_owner[starts[code] : starts[code + 1]]] += 1  # a word stands in a fact once
+        counts = counts.reshape(size, n)
+        scores = np.where(counts > 0, counts + extra, -np.inf)
+        rows = np.arange(size)
+        for _ in range(min(most, n)):
+            best = scores.argmax(axis=1)
+            score = scores[rows, best]
+            got = counts[rows, best] > 0
+            got &= score > -np.inf
+            out.append((rows[got] + at, order.to_numpy()[best[got]], score[got]))
+            scores[rows, best] = -np.inf
+    return out
+
+
 def recall(facts: DataFrame, messages: DataFrame, most: int = 4) -> DataFrame:
     """``(message_id, key, score, place)``: the facts that share most keywords with each message.
 
     Score is the number of keywords contained in key or value plus a hundredth of the confidence; ties go to the later
     update, then the key. Keywords meet keys by their first characters in an equi-join that carries no text; each pair
-    that is left brings the text in once to look for the whole keyword. A message without keyword, and a fact without
+    that is left brings the text in once to look for the whole keyword. Messages and facts then meet in blocks, of which
+    each gives a message's best facts alone: no pair of a message and a fact is shuffled. A message without keyword, and a fact without
     hit, give nothing. Fact keys must be unique.
     """
     asked = materialize(messages.select("message_id", F.explode(T.keywords(F.col("text"))).alias("word")).distinct(), "asked")
@@ -68,8 +114,24 @@ def recall(facts: DataFrame, messages: DataFrame, most: int = 4) -> DataFrame:
     met = materialize(salted_join(held, words, "probe").select("key", "word").distinct(), "met")
     known = salted_join(met, facts.select("key", hay.alias("hay"), "confidence", "updated_at"), "key").filter(F.contains("hay", "word"))
     found = materialize(known.select("word", "key", "confidence", "updated_at"), "found")
-    hits = salted_join(found, asked, "word").groupBy("message_id", "key").agg((F.count(F.lit(1)) + 0.01 * F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"), F.max("updated_at").alias("updated_at"))
-    order = W.partitionBy("message_id").orderBy(F.desc("score"), F.desc("updated_at"), "key")
+    held = materialize(found.groupBy("key").agg(F.collect_set("word").alias("words"), F.max("confidence").alias("confidence"), F.max("updated_at").alias("updated_at")), "held")
+    wanted = materialize(salted_semi_join(asked, found, "word").groupBy("message_id").agg(F.collect_set("word").alias("words")), "wanted")  # a message has few keywords
+    n_facts, n_messages = held.count(), wanted.count()
+    f_blocks, m_blocks = max(1, -(-n_facts // FACTS_HELD)), max(1, -(-n_messages // MESSAGES_HELD))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    m = wanted.select("*", F.pmod(F.xxhash64("message_id"), F.lit(m_blocks)).alias("m"), every(f_blocks).alias("f"))
+    f = held.select("*", F.pmod(F.xxhash64("key"), F.lit(f_blocks)).alias("f"), every(m_blocks).alias("m"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.combine_chunks()
+        parts = top_facts(a, b, most) if a.num_rows and b.num_rows else []
+        message, fact, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        b = b.select(["key", "updated_at"]).take(pa.array(fact, pa.int64()))
+        return pa.table({"message_id": a["message_id"].take(pa.array(message, pa.int64())), "key": b["key"], "score": pa.array(score, pa.float64()), "updated_at": b["updated_at"]})
+
+    kinds = dict(wanted.dtypes) | dict(held.dtypes)
+    hits = m.groupBy("m", "f").cogroup(f.groupBy("m", "f")).applyInArrow(best, f"message_id {kinds['message_id']}, key {kinds['key']}, score double, updated_at {kinds['updated_at']}")
+    order = W.partitionBy("message_id").orderBy(F.desc("score"), F.desc("updated_at"), "key")  # ``most`` rows of each block
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("message_id", "key", "score", "place")
 
 

@@ -259,3 +259,19 @@ def test_rates(spark):
 def test_clip(spark):
     rows = spark.createDataFrame([("a  b\nc",), (None,)], "x string").select(T.clip(F.col("x"), 3)).collect()
     assert [r[0] for r in rows] == ["a b…", None]
+
+
+def test_recall_in_blocks_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "FACTS_HELD", 7)
+    monkeypatch.setattr(K, "MESSAGES_HELD", 3)
+    monkeypatch.setattr(K, "CELLS", 20)
+    words = ["alpha", "bravo", "carol", "delta", "echos"]
+    facts = [(f"k{i:02}", f"{words[i % 5]} {words[i * 3 % 4]}", None if i % 7 == 0 else (i % 4) / 4, None if i % 9 == 0 else i % 3) for i in range(40)]
+    messages = [(i, f"{words[i % 5]} and {words[(i + 2) % 5]} with {words[i % 3]}") for i in range(10)]
+    found = K.recall(spark.createDataFrame(facts, "key string, value string, confidence double, updated_at long"), spark.createDataFrame(messages, "message_id long, text string"))
+    want = set()
+    for i, text in messages:
+        scored = [(-(sum(w in v for w in {*text.split()} - {"and", "with"}) + 0.01 * (c or 0)), u is None, -(u or 0), k) for k, v, c, u in facts if any(w in v for w in {*text.split()} - {"and", "with"})]
+        want |= {(i, k, -s, place) for place, (s, _, _, k) in enumerate(sorted(scored)[:4], 1)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
